@@ -127,19 +127,20 @@ def _rake_tables(cells: DataFrame, targets: dict, fraction: float, rounds: int =
             else:
                 want = F.pow("n", F.lit(float(targets[d])))
             sums = sums.withColumn("want", F.when(F.col("n") > 0, want).otherwise(0.0))
-            sums = materialize(sums.crossJoin(F.broadcast(sums.agg(F.sum("want").alias("all")))), "marginal")  # one row
-            off = max(off, sums.agg(F.max(F.abs(F.expr("got - want / all")))).first()[0] or 0.0)
-            w = materialize(w.join(sums, d).withColumn("weight", F.expr("CASE WHEN got > 0 THEN weight * want / all / got ELSE 0 END")).select(*DIMS, "tokens", "weight"), "raked")
+            sums = materialize(sums, "marginal")
+            whole = float(sums.agg(F.sum("want")).first()[0] or 1.0)
+            off = max(off, sums.agg(F.max(F.abs(F.expr(f"got - want / {whole!r}D")))).first()[0] or 0.0)
+            w = materialize(w.join(sums, d).withColumn("weight", F.expr(f"CASE WHEN got > 0 THEN weight * want / {whole!r}D / got ELSE 0 END")).select(*DIMS, "tokens", "weight"), "raked")
         if off < eps:
             break
     rate, budget, full = "CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END", fraction * total, 0.0
     while True:  # the cells that are kept whole are those of the highest rates: full is the least such rate
-        kept = F.expr(f"({rate}) >= {full!r}") if full else F.lit(False)
+        kept = F.expr(f"({rate}) >= {full!r}D") if full else F.lit(False)
         s = w.agg(F.sum(F.when(kept, F.col("tokens"))).alias("t"), F.sum(F.when(~kept, F.col("weight"))).alias("r")).first()
         c = max(0.0, budget - (s["t"] or 0)) / s["r"] if s["r"] else 0.0
-        over = w.where(~kept).where(F.expr(f"({rate}) * {c!r} >= 1")).agg(F.min(F.expr(rate))).first()[0]
+        over = w.where(~kept).where(F.expr(f"({rate}) * {c!r}D >= 1")).agg(F.min(F.expr(rate))).first()[0]
         if not over:
-            return w.withColumn("p", F.when(kept, 1.0).otherwise(F.expr(f"({rate}) * {c!r}"))).select(*DIMS, "weight", "p")
+            return w.withColumn("p", F.when(kept, 1.0).otherwise(F.expr(f"({rate}) * {c!r}D"))).select(*DIMS, "weight", "p")
         full = float(over)
 
 
