@@ -64,6 +64,7 @@ class Words(NamedTuple):
     end: np.ndarray
     doc: np.ndarray  # text of each word
     hash: np.ndarray
+    stem: np.ndarray | None  # hash of each word's first bytes, where asked for
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +99,7 @@ def fold_latin1(data: np.ndarray) -> np.ndarray:
     return data
 
 
-def words(col: pa.Array, tables: tuple[np.ndarray, np.ndarray] = BLANK, fold: bool = False, size: int = SLICE) -> Iterator[Words]:
+def words(col: pa.Array, tables: tuple[np.ndarray, np.ndarray] = BLANK, fold: bool = False, size: int = SLICE, stem: int = 0) -> Iterator[Words]:
     is_word, low = tables
     for first, n, data, offs in slices(col, size):
         if fold:
@@ -114,7 +115,8 @@ def words(col: pa.Array, tables: tuple[np.ndarray, np.ndarray] = BLANK, fold: bo
         run = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(low[data] * p[:-1], out=run[1:])
         h = mix64((run[end] - run[start]) * inv[start])
-        yield Words(first, n, data, offs, start, end, np.searchsorted(offs, start, "right") - 1, h)
+        short = mix64((run[np.minimum(end, start + stem)] - run[start]) * inv[start]) if stem else None
+        yield Words(first, n, data, offs, start, end, np.searchsorted(offs, start, "right") - 1, h, short)
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
