@@ -282,3 +282,10 @@ def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from caseloom.llm._common import table
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their component, all columns kept. Rows that share a
+    doc_id are one document and stay or go together; rows with a null doc_id always stay."""
+    gone = jaccard_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
