@@ -9,10 +9,11 @@ Two texts link when |A & B| / |A | B| >= num / den. All texts of one set are one
   shingle within their first n - minimal overlap + 1; only those are listed.
 * The boundary comes from a cost model over the exact size histogram.
 
-Lists are never expanded into all pairs. First each member is compared with its list's smallest node
-(a star). Exact intersections make links, links make components. A list whose members are then all in
-one component holds nothing more to find; in the others, members outside the list's largest component
-are compared with members of other components. Every pair that could still join two components is
+Lists are never expanded into all pairs. First each node is compared with one list head, the one it
+meets in most lists (a star). Exact intersections make links, links make components. A list whose
+members are then all in one component holds nothing more to find. In the others, nodes outside the
+list's largest component are compared with one head again, and what is still apart then, members
+outside the largest component, with members of other components. Every pair that could still join two components is
 verified, so components are exact whatever the size of a group.
 
 Shingles are 64-bit hashes (see textkernel); the order's frequencies come from a sketch of fixed size
@@ -24,6 +25,7 @@ null doc_id stays null; repeated rows are equal sets, hence linked; other column
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 from caseloom.llm._common import connected_components, materialize
 from caseloom.llm.textkernel import mix64, shingles, signed, words
 
-SKETCH_BITS = 20  # shingle frequencies: 2**20 counters, whatever the corpus
+SKETCH_BITS = 24  # shingle frequencies: 2**24 counters, whatever the corpus; one byte each where they are used
+PIECE_BITS = 12  # the sketch is summed in pieces of 2**12 counters
 FILTER_BITS = 22  # membership bitmap in front of exact semi-joins: 512 KiB
 MAX_LIGHT = 24  # the largest boundary that the cost model may choose
 LIST_COST = 4  # cost of one list entry against one enumerated subset: shuffled twice, then compared
@@ -89,31 +92,58 @@ def _sets(col: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray], np.nda
 
 
 def _profile(k: int):
-    """Sets of texts (kind 0: doc_id, n, node) and the sketch's counters (kind 1: bucket, cnt)."""
+    """Sets of texts (piece null: doc_id, n, node) and, at the end of a task, its pieces of the sketch (piece, task, counts)."""
+    names = ["doc_id", "n", "node", "piece", "task", "counts"]
 
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        from pyspark import TaskContext
+
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for first, out, n, node in _sets(batch.column(1), k):
-                flat = (np.concatenate(out) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-                total += np.bincount(flat, minlength=len(total))
+                at, c = np.unique(np.concatenate(out) & np.uint64((1 << SKETCH_BITS) - 1), return_counts=True)
+                total[at.astype(np.int64)] += c.astype(np.uint32)
                 m = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(m, np.int32)), batch.column(0).slice(first, m), pa.array(n.astype(np.int32)), pa.array(node), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())],
-                    names=["kind", "doc_id", "n", "node", "bucket", "cnt"],
+                    [batch.column(0).slice(first, m), pa.array(n.astype(np.int32)), pa.array(node), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
                 )
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            b = at[i : i + (1 << 16)]
-            m = len(b)
+        pieces = total.reshape(-1, 1 << PIECE_BITS)
+        on = np.flatnonzero(pieces.any(1))
+        me = TaskContext.get().partitionId()
+        for at in np.array_split(on, max(1, len(on) // 256)):
+            m = len(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(b.astype(np.int32)), pa.array(total[b])],
-                names=["kind", "doc_id", "n", "node", "bucket", "cnt"],
+                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(at.astype(np.int32)), pa.array(np.full(m, me, np.int32)), pa.array([_pack(pieces[i]) for i in at], pa.binary())], names=names
             )
 
     return run
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counters as two bytes each, saturated: levels above that do not differ."""
+    return zlib.compress(np.minimum(counts, 65535).astype(np.uint16).tobytes(), 1)
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), np.uint16).astype(np.uint32)
+
+
+def _sum_pieces(t: pa.Table) -> pa.Table:
+    total = np.zeros(1 << PIECE_BITS, np.uint32)
+    for b in t["counts"].to_pylist():
+        total += _unpack(b)
+    return pa.table([t["piece"][:1], pa.array([_pack(total)], pa.binary())], names=["piece", "counts"])
+
+
+def _sketch(pieces: DataFrame) -> np.ndarray:
+    """Frequency levels, 2**SKETCH_BITS bytes. Pieces of 64 tasks are summed at a time, then their sums."""
+    some = pieces.withColumn("lot", F.floor(F.col("task") / 64)).groupBy("piece", "lot").applyInArrow(_sum_pieces, "piece int, counts binary")
+    level = np.zeros((1 << (SKETCH_BITS - PIECE_BITS), 1 << PIECE_BITS), np.uint8)
+    for r in some.groupBy("piece").applyInArrow(_sum_pieces, "piece int, counts binary").toArrow().to_pylist():
+        level[r["piece"]] = np.minimum(255, 15 * np.log2(1 + _unpack(r["counts"])))
+    return level.ravel()
+
+
 def _lists(k: int, num: int, den: int, light: int, levels):
     """List entries (token, node, n, pos): subset keys of light sets, prefixes of the others."""
     low = -(-num * (light + 1) // den)
@@ -197,45 +227,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     text = src.select("text")
-    prof = materialize(src.mapInArrow(_profile(k), "kind int, doc_id long, n int, node long, bucket int, cnt long"), "profile")
-    rows = prof.where("kind = 0").select("doc_id", "n", "node")
+    prof = materialize(src.mapInArrow(_profile(k), "doc_id long, n int, node long, piece int, task int, counts binary"), "profile")
+    rows = prof.where("piece IS NULL").select("doc_id", "n", "node")
     nodes = rows.where("n > 0")
-
-    sketch = prof.where("kind = 1").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).toArrow().to_pandas()  # 2**20 rows at most
-    level = np.zeros(1 << SKETCH_BITS, np.uint8)
-    level[sketch["bucket"].to_numpy(int)] = np.minimum(255, 8 * np.log2(1 + sketch["cnt"].to_numpy(float))).astype(np.uint8)
     small = nodes.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").count().collect()  # 48 rows at most
     light = choose_boundary({r["n"]: r["count"] for r in small}, num, den)
-    levels = spark.sparkContext.broadcast(level)
+    levels = spark.sparkContext.broadcast(_sketch(prof.where("piece IS NOT NULL").select("piece", "task", "counts")))
 
     entries = text.mapInArrow(_lists(k, num, den, light, levels), "token long, node long, n int, pos int")
     heads = entries.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("head"), F.max("node").alias("last")).where("head.node < last").drop("last")
     members = materialize(entries.join(heads, "token"), "members")
 
-    star = members.where("node <> head.node").select(
-        F.col("head.node").alias("a"), F.col("head.n").alias("an"), F.col("head.pos").alias("ap"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp")
-    )
-    links = _verify(src, nodes, _possible(star, num, den), k, num, den)
-    comps = connected_components(links)
-
-    of = members.drop("head").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    tops = (
-        of.groupBy("token", "comp").count()
-        .groupBy("token").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("parts"))
-        .where("parts > 1").select("token", F.col("top.comp").alias("top"))
-    )
-    open_lists = materialize(of.join(tops, "token"), "open")
+    links = _verify(src, nodes, _best_stars(members.withColumns({"comp": F.col("node"), "top": F.col("head.node")}), num, den), k, num, den)
+    members = members.drop("head")
+    again = _open(members, connected_components(links))
+    links = links.unionByName(_verify(src, nodes, _best_stars(again, num, den), k, num, den))
+    open_lists = _open(members, connected_components(links))
     left = open_lists.where("comp <> top").select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "comp")])
     cross = (
-        left.join(open_lists.drop("top"), "token")
+        left.join(open_lists.select("token", "node", "n", "pos", "comp"), "token")
         .where("l_comp <> comp")
         .where(f"{den} * least(n, l_n) >= {num} * greatest(n, l_n)")
         .where(_overlap_bound("n", "pos", "l_n", "l_pos", num, den))
         .select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b"))
         .distinct()
     )
-    more = _verify(src, nodes, cross, k, num, den)
-    comps = connected_components(links.unionByName(more))
+    comps = connected_components(links.unionByName(_verify(src, nodes, cross, k, num, den)))
 
     node_comp = nodes.groupBy("node").agg(F.min("doc_id").alias("first")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     firsts = node_comp.groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -252,8 +269,26 @@ def _overlap_bound(n: str, p: str, m: str, q: str, num: int, den: int) -> str:
     return f"({p} < 0 OR {q} < 0 OR {den + num} * cast(least({n} - {p}, {m} - {q}) as long) >= {num} * cast({n} + {m} as long))"
 
 
-def _possible(star: DataFrame, num: int, den: int) -> DataFrame:
-    return star.where(f"{den} * least(an, bn) >= {num} * greatest(an, bn)").where(_overlap_bound("an", "ap", "bn", "bp", num, den)).select("a", "b").distinct()
+def _best_stars(members: DataFrame, num: int, den: int) -> DataFrame:
+    """For each node outside its list's head component the head it meets in most lists: a pair for each node at most."""
+    pairs = (
+        members.where("comp <> top")
+        .selectExpr("head.node AS a", "head.n AS an", "head.pos AS ap", "node AS b", "n AS bn", "pos AS bp")
+        .where(f"{den} * least(an, bn) >= {num} * greatest(an, bn)")
+        .where(_overlap_bound("an", "ap", "bn", "bp", num, den))
+    )
+    return pairs.groupBy("b", "a").count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+
+
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of lists that hold several components, with comp, top (the list's largest component) and its first member as head."""
+    of = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    tops = (
+        of.groupBy("token", "comp").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "pos")).alias("head"))
+        .groupBy("token").agg(F.max(F.struct("size", "comp", "head")).alias("t"), F.count("*").alias("parts"))
+        .where("parts > 1").select("token", F.col("t.comp").alias("top"), F.col("t.head").alias("head"))
+    )
+    return materialize(of.join(tops, "token"), "open")
 
 
 def _verify(src: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
