@@ -13,7 +13,8 @@ Lists are never expanded into all pairs. First each node is compared with one li
 meets in most lists (a star). Exact intersections make links, links make components. A list whose
 members are then all in one component holds nothing more to find. In the others, nodes outside the
 list's largest component are compared with one head again, and what is still apart then, members
-outside the largest component, with members of other components. Every pair that could still join two components is
+outside the largest component, with members of other components, unless 1024 parity bits of the two
+sets already show too many differences. Every pair that could still join two components is
 verified, so components are exact whatever the size of a group.
 
 Shingles are 64-bit hashes (see textkernel); the order's frequencies come from a sketch of fixed size
@@ -41,6 +42,7 @@ from caseloom.llm.textkernel import mix64, shingles, signed, words
 SKETCH_BITS = 24  # shingle frequencies: 2**24 counters, whatever the corpus; one byte each where they are used
 PIECE_BITS = 12  # the sketch is summed in pieces of 2**12 counters
 FILTER_BITS = 22  # membership bitmap in front of exact semi-joins: 512 KiB
+PARITY = tuple(f"p{i}" for i in range(16))  # 1024 parity bits of a set
 MAX_LIGHT = 24  # the largest boundary that the cost model may choose
 LIST_COST = 4  # cost of one list entry against one enumerated subset: shuffled twice, then compared
 
@@ -93,7 +95,7 @@ def _sets(col: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray], np.nda
 
 def _profile(k: int):
     """Sets of texts (piece null: doc_id, n, node) and, at the end of a task, its pieces of the sketch (piece, task, counts)."""
-    names = ["doc_id", "n", "node", "piece", "task", "counts"]
+    names = ["doc_id", "n", "node", *PARITY, "piece", "task", "counts"]
 
     def run(batches):
         from pyspark import TaskContext
@@ -104,8 +106,11 @@ def _profile(k: int):
                 at, c = np.unique(np.concatenate(out) & np.uint64((1 << SKETCH_BITS) - 1), return_counts=True)
                 total[at.astype(np.int64)] += c.astype(np.uint32)
                 m = len(n)
+                bit = np.concatenate(out) >> np.uint64(54)
+                odd = np.zeros((len(PARITY), m), np.uint64)
+                np.bitwise_xor.at(odd, ((bit >> np.uint64(6)).astype(np.int64), np.repeat(np.arange(m), n)), np.uint64(1) << (bit & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, m), pa.array(n.astype(np.int32)), pa.array(node), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
+                    [batch.column(0).slice(first, m), pa.array(n.astype(np.int32)), pa.array(node), *map(signed, odd), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
                 )
         pieces = total.reshape(-1, 1 << PIECE_BITS)
         on = np.flatnonzero(pieces.any(1))
@@ -113,7 +118,7 @@ def _profile(k: int):
         for at in np.array_split(on, max(1, len(on) // 256)):
             m = len(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(at.astype(np.int32)), pa.array(np.full(m, me, np.int32)), pa.array([_pack(pieces[i]) for i in at], pa.binary())], names=names
+                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.int64())] * (1 + len(PARITY)), pa.array(at.astype(np.int32)), pa.array(np.full(m, me, np.int32)), pa.array([_pack(pieces[i]) for i in at], pa.binary())], names=names
             )
 
     return run
@@ -227,8 +232,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     text = src.select("text")
-    prof = materialize(src.mapInArrow(_profile(k), "doc_id long, n int, node long, piece int, task int, counts binary"), "profile")
-    rows = prof.where("piece IS NULL").select("doc_id", "n", "node")
+    prof = materialize(src.mapInArrow(_profile(k), f"doc_id long, n int, node long, {', '.join(f'{c} long' for c in PARITY)}, piece int, task int, counts binary"), "profile")
+    rows = prof.where("piece IS NULL").select("doc_id", "n", "node", *PARITY)
     nodes = rows.where("n > 0")
     small = nodes.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").count().collect()  # 48 rows at most
     light = choose_boundary({r["n"]: r["count"] for r in small}, num, den)
@@ -240,15 +245,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     links = _verify(src, nodes, _best_stars(members.withColumns({"comp": F.col("node"), "top": F.col("head.node")}), num, den), k, num, den)
     members = members.drop("head")
-    again = _open(members, connected_components(links))
+    again = _open(members, nodes, connected_components(links))
     links = links.unionByName(_verify(src, nodes, _best_stars(again, num, den), k, num, den))
-    open_lists = _open(members, connected_components(links))
-    left = open_lists.where("comp <> top").select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "comp")])
+    open_lists = _open(members, nodes, connected_components(links))
+    left = open_lists.where("comp <> top").select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "comp", *PARITY)])
     cross = (
-        left.join(open_lists.select("token", "node", "n", "pos", "comp"), "token")
+        left.join(open_lists.select("token", "node", "n", "pos", "comp", *PARITY), "token")
         .where("l_comp <> comp")
         .where(f"{den} * least(n, l_n) >= {num} * greatest(n, l_n)")
         .where(_overlap_bound("n", "pos", "l_n", "l_pos", num, den))
+        .where(_difference_bound("n", "l_n", [(c, f"l_{c}") for c in PARITY], num, den))
         .select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b"))
         .distinct()
     )
@@ -280,15 +286,22 @@ def _best_stars(members: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.groupBy("b", "a").count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of lists that hold several components, with comp, top (the list's largest component) and its first member as head."""
+def _open(members: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of lists that hold several components, with parities, comp, top (the list's largest component) and its first member as head."""
     of = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     tops = (
         of.groupBy("token", "comp").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "pos")).alias("head"))
         .groupBy("token").agg(F.max(F.struct("size", "comp", "head")).alias("t"), F.count("*").alias("parts"))
         .where("parts > 1").select("token", F.col("t.comp").alias("top"), F.col("t.head").alias("head"))
     )
-    return materialize(of.join(tops, "token"), "open")
+    odd = nodes.groupBy("node").agg(*[F.min(c).alias(c) for c in PARITY])
+    return materialize(of.join(tops, "token").join(odd, "node"), "open")
+
+
+def _difference_bound(n: str, m: str, parities: list[tuple[str, str]], num: int, den: int) -> str:
+    """Sets whose parity bits differ in d places differ in d shingles at least; a link allows (den - num) / (den + num) of n + m."""
+    d = " + ".join(f"bit_count({a} ^ {b})" for a, b in parities)
+    return f"{den + num} * cast({d} as long) <= {den - num} * cast({n} + {m} as long)"
 
 
 def _verify(src: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
