@@ -114,7 +114,7 @@ def _probabilities(cells: DataFrame, targets: dict, fraction: float, max_cells:
     return _rake_tables(cells, targets, fraction)
 
 
-def _rake_tables(cells: DataFrame, targets: dict, fraction: float, rounds: int = 50, eps: float = 1e-6) -> DataFrame:
+def _rake_tables(cells: DataFrame, targets: dict, fraction: float, rounds: int = 50, eps: float = 1e-7) -> DataFrame:
     """The same raking on tables, for more cells than the driver should hold."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     w = cells.withColumn("weight", F.col("tokens") / F.lit(total or 1.0))
