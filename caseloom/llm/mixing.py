@@ -20,10 +20,13 @@ together; all columns of docs pass through, and the added ones replace columns o
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from caseloom.llm._common import materialize, table
+from caseloom.llm.textkernel import words
 
 DIMS = ("source", "lang", "topic")
 #: the first rule whose marker a text holds names its topic
@@ -46,12 +49,19 @@ def topic_of(text: str = "text") -> Column:
     return out
 
 
-def token_count(text: str = "text") -> Column:
-    """Whitespace-separated words, null and empty texts 0."""
-    squeezed = F.regexp_replace(F.col(text), r"[\x09-\x0D\x20]+", " ")
-    spaces = F.length(squeezed) - F.length(F.translate(squeezed, " ", ""))
-    ends = F.startswith(squeezed, F.lit(" ")).cast("int") + F.when(F.length(squeezed) > 1, F.endswith(squeezed, F.lit(" ")).cast("int")).otherwise(0)
-    return F.coalesce(F.when(F.length(squeezed) > 0, spaces + 1 - ends), F.lit(0)).cast("long")
+def with_tokens(docs: DataFrame) -> DataFrame:
+    """docs with tokens: whitespace-separated words of text, null and empty texts 0."""
+    docs = docs.drop("tokens")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            n = np.zeros(batch.num_rows, np.int64)
+            for w in words(batch.column(at)):
+                n[w.first : w.first + w.n] = np.bincount(w.doc, minlength=w.n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, "tokens"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("tokens", LongType())]))
 
 
 def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
@@ -153,7 +163,7 @@ def draw(id_col: str, seed: int) -> Column:
 def mix(docs: DataFrame, targets: dict, fraction: float = 0.5, seed: int = 17, max_cells: int = 100_000, topic: Column | None = None) -> DataFrame:
     """The sampled rows of docs with topic, tokens, mix_weight (raked share of the cell) and mix_p added."""
     topic = topic_of() if topic is None else topic
-    rows = docs.withColumns({"topic": topic, "tokens": token_count()})
+    rows = with_tokens(docs.withColumn("topic", topic))
     key = {d: F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMS}
     cells = materialize(rows.groupBy(*[c.alias(d) for d, c in key.items()]).agg(F.sum("tokens").alias("tokens")), "cells")
     p = _probabilities(cells, targets, fraction, max_cells)

@@ -108,8 +108,8 @@ def test_mixing_meets_targets(spark, odd, empty):
     small, large = ({r["doc_id"]: r["mix_p"] for r in mixing.mix(d, mixing.TARGETS, max_cells=m).collect()} for m in (10, 10_000))
     assert small.keys() == large.keys() and all(abs(p - large[i]) < 1e-4 for i, p in small.items())
     assert mixing.mix(empty, mixing.TARGETS).count() == 0
-    got = odd.select("text", mixing.token_count().alias("n")).collect()
-    assert all(r["n"] == len((r["text"] or "").split()) for r in got)
+    got = mixing.with_tokens(odd).collect()
+    assert all(r["tokens"] == len((r["text"] or "").split()) for r in got)
     assert {r["doc_id"] for r in mixing.mix(odd, mixing.TARGETS, fraction=1.0).collect()} == {3, 4, 5, 6, None, 7}
 
 
