@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as tx
 from caseloom.operators import cases, matcher, state
+from caseloom.plans import catalog
 
 TABLES = ("documents", "conversations", "benchmark", "labels", "pages", "events", "orders", "lineitem", "customer")
 
@@ -49,7 +50,7 @@ def f8_triage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f11_sheet_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("", "=", " +", "-", "@")]), (F.col("doc_id") % 5 + 1).cast("int")), F.substring("text", 1, 40))
+    cell = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("", "=", " +", "-", "@")]), (F.col("doc_id") % 5 + 1).cast("int")), "text")
     return _t(spark, sf_dir, "documents").select("doc_id", tx.sheet_literal(cell).alias("cell"))
 
 
@@ -161,9 +162,7 @@ SHARED = {
     "w1_round_robin": "SELECT doc_id, lap FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS lap, lang, source FROM documents) x",
     "w2_first_two": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) x WHERE rn <= 2",
     "w4_latest": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1",
-    "w5_workbook_parts": "SELECT part, min(rn) AS first_row, max(rn) AS last_row FROM (SELECT rn, CAST(floor((rn - 1) / 300) AS BIGINT) AS part FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) AS rn FROM conversations) y) x GROUP BY part",
     "w8_last_seed": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) x WHERE rn = 1",
-    "o3_annotation_order": "SELECT doc_id, row_number() OVER (ORDER BY toxic DESC, CASE quality WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END, doc_id) AS place FROM labels",
     "o5_first_earlier_or_own": "SELECT c.conv_id, coalesce(min(CASE WHEN contains(c.text, 'that') THEN c.turn END), 0) AS original FROM conversations c GROUP BY c.conv_id",
     "u1_only_here": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "u3_union_targets": "SELECT doc_id FROM documents UNION SELECT conv_id FROM conversations",
@@ -184,7 +183,7 @@ def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _OWN = (t5_find_phrases, f5_normalize, f1_typed_ids, f8_triage_flags, f11_sheet_literal, f13_text_parts, f14_overlong, a9_prior_activity, g1_links, g2_exact_copies, g3_group_seeds, d1_upsert_last, d1_upsert_first, d5_resume_keys, c2_current_view)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | {k: _sql(v) for k, v in SHARED.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | {k: _sql(v) for k, v in SHARED.items()} | catalog.QUERIES
 _DOUBT = " OR ".join(f"contains(lower(text), '{w}')" for w in ("if ", "might ", "would ", "hope ", "afraid", "worried", "in case", "don''t want", "didn''t", "did not"))
 _SHOWN = " OR ".join(f"contains(lower(text), '{w}')" for w in ("showed ", "told ", "gave "))
 ORACLE: dict[str, str] = {
@@ -192,7 +191,7 @@ ORACLE: dict[str, str] = {
     "f5_normalize": f"SELECT doc_id, length({_NORM}) AS norm_chars, sha256({_NORM}) AS norm_sha256 FROM documents",
     "f1_typed_ids": "SELECT doc_id, 't3_' || doc_id AS typed_id, 't1_' || doc_id AS comment_id, CAST(NULL AS VARCHAR) AS bad_id FROM documents",
     "f8_triage_flags": f"SELECT doc_id, concat_ws(',', CASE WHEN {_DOUBT} THEN 'negation_or_hypothetical_language' END, CASE WHEN contains(text, '>') OR contains(text, '\"') THEN 'possible_quotation' END, CASE WHEN {_SHOWN} THEN 'possible_voluntary_sharing' END) AS flags FROM documents",
-    "f11_sheet_literal": r"SELECT doc_id, CASE WHEN regexp_matches(c, '^\s*[=+\-@]') THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, (['', '=', ' +', '-', '@'])[doc_id % 5 + 1] || substr(text, 1, 40) AS c FROM documents)",
+    "f11_sheet_literal": r"SELECT doc_id, CASE WHEN regexp_matches(c, '^\s*[=+\-@]') THEN '''' || c ELSE c END AS cell FROM (SELECT doc_id, (['', '=', ' +', '-', '@'])[doc_id % 5 + 1] || text AS c FROM documents)",
     "f13_text_parts": "SELECT doc_id, part, length(v) AS chars, sha256(v) AS part_sha256 FROM (SELECT doc_id, part, substr(text, part * 14000 + 1, 14000) AS v FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil(length(text) / 14000) AS BIGINT), 1) - 1)) AS part FROM documents))",
     "f14_overlong": "SELECT doc_id, length(text) AS units FROM documents WHERE length(text) > 30000",
     "a9_prior_activity": _A9,
@@ -203,4 +202,4 @@ ORACLE: dict[str, str] = {
     "d1_upsert_first": "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "d5_resume_keys": """SELECT o_orderkey, sha256('["rev1", "' || o_orderkey || '", "' || o_orderstatus || '", "' || o_orderpriority || '"]') AS key FROM orders""",
     "c2_current_view": _C2,
-} | {k: v.replace("LEFT ANTI JOIN", "ANTI JOIN") for k, v in SHARED.items()}
+} | {k: v.replace("LEFT ANTI JOIN", "ANTI JOIN") for k, v in SHARED.items()} | catalog.ORACLE
