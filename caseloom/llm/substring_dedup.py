@@ -2,8 +2,11 @@
 
 A unit ends at a line end or at . ! ? before white space, so a line or paragraph that repeats is found
 whatever stands around it on its line. It is normalised (case folded, white space collapsed) and hashed
-to 128 bits. A unit of fewer than min_words is taken together with the unit before it, so common short
-sentences go only as part of a longer repeat; if both together are still shorter, it always stays.
+to 128 bits. A unit of fewer than min_words is taken together with as many units before it as make up
+min_words, so common short sentences go only as part of a longer repeat; units at a text's start that have
+too few before them are taken with those after them as well. So every unit of a text of min_words or more
+is hashed; after text of its own, a repeat that begins with short units keeps those of its first
+min_words - 1 words.
 
 Of the units of one digest the first by (doc_id, text hash, place) stays; the others are removed,
 spans in original code points. Digests are grouped with partial aggregation, and only digests that
@@ -31,13 +34,27 @@ UNIT = re.compile(r"\S(?:[^\n.!?]+|[.!?](?!\s|\Z))*[.!?]*")
 
 def units(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
     """(place, start, end, digest) of the units that may go."""
-    prev: list[str] = []
+    window: list[list[str]] = []  # the fewest last units that hold min_words words
+    lead: list[tuple[int, int, int]] = []
+    n = 0
     for i, m in enumerate(UNIT.finditer(text)):
         w = m[0].casefold().split()
-        key = w if len(w) >= min_words else [*prev, "\n", *w] if len(prev) + len(w) >= min_words and prev else None
-        if key:
-            yield i, m.start(), m.start() + len(m[0].rstrip()), hashlib.blake2b(" ".join(key).encode(), digest_size=16).digest()
-        prev = w
+        at = i, m.start(), m.start() + len(m[0].rstrip())
+        window.append(w)
+        n += len(w)
+        if n < min_words:
+            lead.append(at)
+            continue
+        for k, x in enumerate(lead):
+            yield *x, _digest([*window[: k + 1], ["\r"], *window[k + 1 :]])  # no word is a mere \r
+        lead = []
+        while n - len(window[0]) >= min_words:
+            n -= len(window.pop(0))
+        yield *at, _digest(window)
+
+
+def _digest(run: list[list[str]]) -> bytes:
+    return hashlib.blake2b(" \n ".join(map(" ".join, run)).encode(), digest_size=16).digest()
 
 
 def _units(min_words: int):

@@ -139,6 +139,16 @@ def test_substring_dedup_against_brute_force(spark, odd, empty):
     assert substring_dedup.dedup_substrings(odd).count() == 10 and substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_runs_of_short_units_go(spark):
+    lines = "\n".join(f"line {i}" for i in range(40))
+    rows = [(1, lines), (2, lines), (3, "WORD!! " * 60), (4, "WORD!! " * 60), (5, f"Title\n{lines}"), (6, "Title\nand one sentence of its own here."), (7, "Title\nAnd one sentence of its own here."), (8, "a b. c d.")]
+    got = {r["doc_id"]: r["clean_text"] for r in substring_dedup.dedup_substrings(docs(spark, [*rows, (9, "a b. c d.")])).collect()}
+    assert got[1] == lines and got[2] == got[4] == got[7] == "" and got[3].split() == ["WORD!!"] * 5
+    assert got[5] == "Title\nline 0\nline 1\n" and got[6] == rows[5][1] and got[8] == got[9] == rows[7][1]
+    for _, t in rows[:-1]:
+        assert [i for i, *_ in substring_dedup.units(t, 5)] == list(range(len(substring_dedup.UNIT.findall(t))))
+
+
 def test_classifiers_edge_cases(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(3, 1, 0), (4, 1, 1), (5, 0, 0), (6, 0, 1), (None, 1, 1), (7, None, None), (3, 0, 1)], none.schema)
