@@ -5,7 +5,8 @@ Base spans, leftmost and non-overlapping per kind (offsets in code points, end e
   access  AKIA..., 16 characters or more
   hex     32 lower-case hex digits or more
 Linked spans, reported only where complementary parts co-occur:
-  secret    a bare 40-character base64 word with upper, lower case and a digit, in the scope of an access identifier
+  secret    a run of exactly 40 base64 characters with upper, lower case and a digit, in the scope of an access
+            identifier; any other character may stand next to it (KEY=value, end of a sentence, query of a URL)
   endpoint  a URL or cloud host in the scope of an access identifier that also holds a secret or assign span
 
 A scope is the access identifier's span widened by `reach` code points on both sides; overlapping scopes of a text are
@@ -30,7 +31,7 @@ from caseloom.llm._common import materialize, table
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-SECRET = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
+SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
 ENDPOINT = r"https?://[^\s\"'<>]+|\b[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|cloudfront\.net|core\.windows\.net|googleapis\.com)\b"
 #: order of kinds at one start
 KINDS = ("assign", "access", "hex", "secret", "endpoint")

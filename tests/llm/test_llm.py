@@ -196,6 +196,17 @@ def test_secrets(spark, odd, empty):
     assert secrets.redact_secrets(odd).count() == 10 and secrets.scan_secrets(odd).count() == 10 and secrets.scan_secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("form", ["AWS_SECRET_ACCESS_KEY={}", "it is {}.", "https://h.example/?sk={}", "key_{}_", "{}=", "v-{}-w", "({})", "{}.Next"])
+def test_secret_beside_any_other_character(spark, form):
+    key, sec = "AKIA" + "ABCDEFGHIJKL2345", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
+    d = docs(spark, [(1, f"AWS_ACCESS_KEY_ID={key}\n{form.format(sec)}\nsee https://e.example/y"), (2, f"{key} {form.format('a' + sec)}"), (3, f"{key} {form.format(sec + '/')}")])
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan_secrets(d).collect()}
+    at = d.where("doc_id = 1").first()["text"].index(sec)
+    assert ("secret", at, at + 40) in got[1] and got[1][-1][0] == "endpoint"
+    assert not {"secret", "endpoint"} & {k for i in (2, 3) for k, _, _ in got[i]}
+    assert sec not in secrets.redact_secrets(d).where("doc_id = 1").first()["text"]
+
+
 def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 16))
