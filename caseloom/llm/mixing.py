@@ -2,7 +2,8 @@
 
 Tokens are whitespace-separated words. The cells source x lang x topic get weights that start at their
 tokens and are raked in turn to the target share of each source, language and topic until all shares
-are met (targets of values without tokens are dropped and the rest rescaled). A cell's documents are then
+are met (targets of values without tokens are dropped and the rest rescaled; values that a list of
+targets does not name, nulls among them, keep the share of tokens they have). A cell's documents are then
 taken with probability p = min(1, c * weight / tokens), where c makes the expected tokens equal the
 budget; cells that reach 1 keep all they have and the rest is spread over the others.
 
@@ -99,11 +100,15 @@ def calibrate(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarr
 
 
 def _shares(totals: dict[str, float], target: dict[str, float] | float) -> dict[str, float]:
-    """A target is the share of each value, or a power that tempers the totals."""
+    """A target is the share of each value, or a power that tempers the totals. Values that a target does not
+    list keep their share of the tokens, and the listed ones divide the rest."""
     if not isinstance(target, dict):
         return tempered(totals, target)
-    s = {k: target.get(k, 0.0) for k, v in totals.items() if v > 0}
-    return {k: v / sum(s.values()) for k, v in s.items()} if sum(s.values()) else s
+    have = {k: v for k, v in totals.items() if v > 0}
+    listed = sum(target.get(k, 0.0) for k in have)
+    other = sum(v for k, v in have.items() if k not in target)
+    whole = sum(have.values()) if listed else other
+    return {k: (target[k] / listed * (whole - other) / whole if listed else 0.0) if k in target else v / whole for k, v in have.items()}
 
 
 def _probabilities(cells: DataFrame, targets: dict, fraction: float, max_cells: int) -> DataFrame:
@@ -133,12 +138,17 @@ def _rake_tables(cells: DataFrame, targets: dict, fraction: float, rounds: int =
         for d in DIMS:
             sums = w.groupBy(d).agg(F.sum("weight").alias("got"), F.sum("tokens").alias("n"))
             if isinstance(targets[d], dict):
-                want = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in targets[d].items() for x in kv]), F.col(d)), F.lit(0.0))
+                listed = F.element_at(F.create_map(*[F.lit(x) for k, v in targets[d].items() for x in (k, float(v))]), F.col(d)) if targets[d] else F.lit(None).cast("double")
             else:
-                want = F.pow("n", F.lit(float(targets[d])))
-            sums = sums.withColumn("want", F.when(F.col("n") > 0, want).otherwise(0.0))
-            sums = materialize(sums, "marginal")
-            whole = float(sums.agg(F.sum("want")).first()[0] or 1.0)
+                listed = F.pow("n", F.lit(float(targets[d])))
+            sums = materialize(sums.withColumn("want", F.when(F.col("n") > 0, listed).otherwise(0.0)), "marginal")
+            t = sums.agg(F.sum("want").alias("listed"), F.sum(F.when(F.col("want").isNull(), F.col("n"))).alias("other")).first()
+            if t["other"]:  # as in _shares
+                whole = total if t["listed"] else float(t["other"])
+                scale = (whole - t["other"]) / t["listed"] if t["listed"] else 0.0
+                sums = sums.withColumn("want", F.coalesce(F.col("want") * F.lit(scale), F.col("n").cast("double")))
+            else:
+                whole = float(t["listed"] or 1.0)
             off = max(off, sums.agg(F.max(F.abs(F.expr(f"got - want / {whole!r}D")))).first()[0] or 0.0)
             w = materialize(w.join(sums, d).withColumn("weight", F.expr(f"CASE WHEN got > 0 THEN weight * want / {whole!r}D / got ELSE 0 END")).select(*DIMS, "tokens", "weight"), "raked")
         if off < eps:

@@ -113,6 +113,14 @@ def test_mixing_meets_targets(spark, odd, empty):
     assert {r["doc_id"] for r in mixing.mix(odd, mixing.TARGETS, fraction=1.0).collect()} == {3, 4, 5, 6, None, 7}
 
 
+def test_unlisted_values_keep_their_share(spark):
+    d = spark.createDataFrame([(i, "a b c d e", lang, "s", 1) for i, lang in enumerate(["en"] * 4 + ["de"] * 2 + [None] * 2 + ["xx"] * 2)], DOCS)
+    for lang, want in (({"en": 0.6, "de": 0.2, "fr": 0.2}, {"en": 0.45, "de": 0.15, None: 0.2, "xx": 0.2}), ({"en": 0.0}, {"de": 1 / 3, None: 1 / 3, "xx": 1 / 3}), ({}, {"en": 0.4, "de": 0.2, None: 0.2, "xx": 0.2})):
+        for cells in (0, 100):
+            got = {r["lang"]: r["mix_weight"] for r in mixing.mix(d, mixing.TARGETS | {"lang": lang}, fraction=1.0, max_cells=cells).collect()}
+            assert got == pytest.approx(want)
+
+
 def test_chat_round_trip(spark):
     texts = ["", "\\", "<|im_start|>", "<\\|im_end|>\n", "</s>[INST] ok [/INST]", "é<s>", "\\\\<<SYS>>", None, "a" * 1000]
     turns = [(1, i, ["user", "assistant", "<|message|>"][i % 3], t) for i, t in enumerate(texts)] + [(None, None, None, "x"), (1, 3, "user", "tie"), (1, 3, "user", "tie")]
