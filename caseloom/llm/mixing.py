@@ -30,6 +30,8 @@ from caseloom.llm._common import materialize, table
 from caseloom.llm.textkernel import words
 
 DIMS = ("source", "lang", "topic")
+#: raking ends after so many rounds, or when all shares are met so closely; the same for arrays and tables
+ROUNDS, EPS = 200, 1e-10
 #: the first rule whose marker a text holds names its topic
 TOPICS = (
     ("legal", ("License", "Copyright", "licensed under", "All rights reserved")),
@@ -71,7 +73,7 @@ def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / sum(s.values()) for k, v in s.items()}
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], rounds: int = 200, eps: float = 1e-10) -> np.ndarray:
+def rake(tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], rounds: int = ROUNDS, eps: float = EPS) -> np.ndarray:
     """Cell weights (sum 1) whose marginals meet the shares; codes give each cell's value in each dimension."""
     w = tokens / tokens.sum() if tokens.sum() else tokens.astype(float)
     for _ in range(rounds):
@@ -129,7 +131,7 @@ def _probabilities(cells: DataFrame, targets: dict, fraction: float, max_cells:
     return _rake_tables(cells, targets, fraction)
 
 
-def _rake_tables(cells: DataFrame, targets: dict, fraction: float, rounds: int = 50, eps: float = 1e-6) -> DataFrame:
+def _rake_tables(cells: DataFrame, targets: dict, fraction: float, rounds: int = ROUNDS, eps: float = EPS) -> DataFrame:
     """The same raking on tables, for more cells than the driver should hold."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     w = cells.withColumn("weight", F.col("tokens") / F.lit(total or 1.0))

@@ -113,6 +113,14 @@ def test_mixing_meets_targets(spark, odd, empty):
     assert {r["doc_id"] for r in mixing.mix(odd, mixing.TARGETS, fraction=1.0).collect()} == {3, 4, 5, 6, None, 7}
 
 
+def test_tables_are_raked_as_far_as_arrays(spark):
+    n = {("a", "en"): 30, ("a", "de"): 10, ("b", "en"): 10, ("b", "de"): 30}
+    d = spark.createDataFrame([(i, "a " * k, lang, src, 1) for i, ((src, lang), k) in enumerate(n.items())], DOCS)
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.8, "de": 0.2}, "topic": 1.0}
+    tables, arrays = ({r["doc_id"]: r["mix_weight"] for r in mixing.mix(d, targets, fraction=1.0, max_cells=m).collect()} for m in (0, 100))
+    assert len(arrays) == 4 and tables == pytest.approx(arrays, rel=0, abs=1e-9)
+
+
 def test_unlisted_values_keep_their_share(spark):
     d = spark.createDataFrame([(i, "a b c d e", lang, "s", 1) for i, lang in enumerate(["en"] * 4 + ["de"] * 2 + [None] * 2 + ["xx"] * 2)], DOCS)
     for lang, want in (({"en": 0.6, "de": 0.2, "fr": 0.2}, {"en": 0.45, "de": 0.15, None: 0.2, "xx": 0.2}), ({"en": 0.0}, {"de": 1 / 3, None: 1 / 3, "xx": 1 / 3}), ({}, {"en": 0.4, "de": 0.2, None: 0.2, "xx": 0.2})):
