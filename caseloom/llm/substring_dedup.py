@@ -61,33 +61,39 @@ def _units(min_words: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            row, place, start, end, digest = [], [], [], [], []
+            row, place, spans, digest = [], [], [], []
             for r, text in enumerate(batch.column(2).to_pylist()):
+                of: dict[bytes, list[int]] = {}
                 for i, s, e, d in units(text or "", min_words):
-                    row.append(r)
-                    place.append(i)
-                    start.append(s)
-                    end.append(e)
-                    digest.append(d)
+                    if d not in of:
+                        of[d] = []
+                        row.append(r)
+                        place.append(i)
+                        spans.append(of[d])
+                        digest.append(d)
+                    of[d].append(s << 32 | e)
                 if len(row) >= 100_000 or r == batch.num_rows - 1:
                     two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                     at = pa.array(row, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), ids.take(at), batch.column(1).take(at), *(pa.array(x, pa.int32()) for x in (place, start, end))],
-                        names=["hi", "lo", "doc_id", "h", "place", "start", "end"],
+                        [pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), ids.take(at), batch.column(1).take(at), pa.array(place, pa.int32()), pa.array(spans, pa.list_(pa.int64()))],
+                        names=["hi", "lo", "doc_id", "h", "place", "spans"],
                     )
-                    row, place, start, end, digest = [], [], [], [], []
+                    row, place, spans, digest = [], [], [], []
 
     return run
 
 
 def repeated_units(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """Units to remove: doc_id, h (text hash), start, end, kept_doc_id (whose occurrence stays)."""
+    """Units to remove: doc_id, h (text hash), spans (start << 32 | end, of one digest), kept_doc_id (whose occurrence stays).
+    A text's units of one digest travel as one row, placed where the first is."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
-    all_units = src.mapInArrow(_units(min_words), "hi long, lo long, doc_id long, h long, place int, start int, end int")
+    all_units = src.mapInArrow(_units(min_words), "hi long, lo long, doc_id long, h long, place int, spans array<long>")
     rank = F.struct("doc_id", "h", "place")
-    keep = all_units.groupBy("hi", "lo").agg(F.min(rank).alias("keep"), F.max(rank).alias("last")).where("NOT (keep <=> last)").drop("last")
-    return all_units.join(keep, ["hi", "lo"]).where(~rank.eqNullSafe(F.col("keep"))).select("doc_id", "h", "start", "end", F.col("keep.doc_id").alias("kept_doc_id"))
+    keep = all_units.groupBy("hi", "lo").agg(F.min(rank).alias("keep"), F.max(rank).alias("last"), F.max(F.size("spans")).alias("most"))
+    keep = keep.where("NOT (keep <=> last) OR most > 1").drop("last", "most")
+    gone = F.when(rank.eqNullSafe(F.col("keep")), F.slice("spans", 2, F.size("spans"))).otherwise(F.col("spans"))
+    return all_units.join(keep, ["hi", "lo"]).withColumn("spans", gone).where("size(spans) > 0").select("doc_id", "h", "spans", F.col("keep.doc_id").alias("kept_doc_id"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -101,17 +107,19 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 5, changed_only: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """docs with clean_text, n_removed, removed_chars, removed_spans (array of start, end) and kept_doc_ids added."""
     gone = materialize(repeated_units(docs, min_words), "repeats")
-    per = gone.groupBy("doc_id", "h").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed_spans"), F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids")
+    spans = F.transform(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))),
+        lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("end")),
     )
+    per = gone.groupBy("doc_id", "h").agg(spans.alias("removed_spans"), F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids"))
     per = per.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "removed_spans", "kept_doc_ids")
     clash = [c for c in ("clean_text", "n_removed", "removed_chars", "removed_spans", "kept_doc_ids") if c in docs.columns]
     base = docs.drop(*clash)
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    joined = base.join(per, on, "inner" if changed_only else "left").drop("_id", "_h")
+    joined = base.join(per, on, "left").drop("_id", "_h")
     joined = joined.withColumns({
         "n_removed": F.coalesce(F.size("removed_spans"), F.lit(0)).cast("long"),
         "removed_chars": F.coalesce(F.aggregate("removed_spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"])), F.lit(0).cast("long")),
@@ -130,7 +138,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 5, changed_only: bool = F
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """A row for each document that lost a unit; all others are as they were."""
-    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
+    """A row for each document, with its clean text; n_removed is 0 where it is as it was."""
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed_spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return out.select("doc_id", "n_removed", "removed_chars", spans.alias("removed_spans"), "kept_doc_ids", F.col("clean_text").alias("text"))

@@ -165,6 +165,17 @@ def test_runs_of_short_units_go(spark):
         assert [i for i, *_ in substring_dedup.units(t, 5)] == list(range(len(substring_dedup.UNIT.findall(t))))
 
 
+def test_dedup_query_returns_every_document(spark):
+    want = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    first, clean, removed = {}, {}, {}
+    for i in sorted(want):
+        spans = [(s, e) for u, s, e, d in substring_dedup.units(want[i] or "", 5) if first.setdefault(d, (i, u)) != (i, u)]
+        clean[i], removed[i] = want[i] and substring_dedup.cut(want[i], spans), len(spans)
+    got = substring_dedup.op4_substring_dedup(spark, SF).collect()
+    assert len(got) == len(want) and {r["doc_id"]: r["text"] for r in got} == clean and {r["doc_id"]: r["n_removed"] for r in got} == removed
+    assert any(removed.values()) and not all(removed.values())
+
+
 def test_classifiers_edge_cases(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(3, 1, 0), (4, 1, 1), (5, 0, 0), (6, 0, 1), (None, 1, 1), (7, None, None), (3, 0, 1)], none.schema)
