@@ -333,7 +333,12 @@ def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component, all columns kept. Rows that share a
-    doc_id are one document and stay or go together; rows with a null doc_id always stay."""
-    gone = jaccard_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each component, all columns kept: that of the smallest doc_id, null ids last, of several such
+    rows any one. Decided by row, so ids may repeat or be null; rows without words always stay."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # fixes _row
+    comps = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), k, num, den).where("n_shingles > 0")
+    of = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_row").alias("rank"))
+    of = materialize(comps.select(F.col("doc_id").alias("_row"), "component_id").join(of, "_row"), "ranks")
+    keep = of.groupBy("component_id").agg(F.min("rank._row").alias("one"), F.max("rank._row").alias("last"), F.min("rank").alias("keep")).where("one < last")
+    gone = of.join(keep, "component_id").where("_row <> keep._row").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -69,6 +69,14 @@ def test_jaccard_components_against_brute_force(spark, odd, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, odd):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(9, a), (2, a), (2, a), (None, a), (None, b), (None, b), (4, c), (5, c), (5, d), (6, None), (6, None), (None, "")]
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(2, a), (None, b), (4, c), (5, d), (6, None), (6, None), (None, "")], key=repr)
+    assert sorted(r["doc_id"] or 0 for r in ngram_join.one_of_each(odd).collect()) == [0, 1, 2, 3, 5, 7, 8]
+
+
 def test_light_sets_meet_in_a_subset():
     for n in range(1, 20):
         for m in range(1, n + 1):
