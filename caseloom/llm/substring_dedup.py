@@ -1,7 +1,9 @@
 """Substring dedup: normalised sentences, lines included, hashed and deduplicated over the whole corpus.
 
-A unit ends at a line end or at . ! ? before white space, so a line or paragraph that repeats is found
-whatever stands around it on its line. It is normalised (case folded, white space collapsed) and hashed
+A unit ends at a line end or at . ! ? before white space, so whole sentences and lines that repeat are
+found whatever stands around them. Text repeated inside a sentence is not: a passage spliced into one is
+hashed with its surroundings, so a single long sentence is missed whole and a longer passage keeps its
+first and last one. A unit is normalised (case folded, white space collapsed) and hashed
 to 128 bits. A unit of fewer than min_words is taken together with as many units before it as make up
 min_words, so common short sentences go only as part of a longer repeat; units at a text's start that have
 too few before them are taken with those after them as well. So every unit of a text of min_words or more
