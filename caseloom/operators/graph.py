@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.operators.state import resume_key
-from caseloom.plans.scratch import written
+from caseloom.plans.scratch import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         root = far.groupBy("a").agg(F.min("b").alias("m"))
         near = far.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = written(near.union(root.toDF("a", "b")).where("a <> b").distinct(), "near")
+        discard(e, far)
         tangled = new.groupBy("a").count().where("count > 1").limit(1).union(new.join(new.select(F.col("b").alias("a")), "a", "left_semi").groupBy("a").count().limit(1))
         e = new
         if tangled.isEmpty():

@@ -9,15 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where the session names none (tests)."""
+    """spark.checkpoint.dir or the context's checkpoint folder; a local one only where Spark runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="caseloom-core-")
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = found.get() if found.isDefined() else None
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="caseloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/caseloom/{uuid.uuid4().hex}-{tag}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/caseloom-core/{tag}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that written() returned, once everything made from them is written."""
+    for t in tables:
+        path = getattr(t, "_written", None)
+        if path:
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
