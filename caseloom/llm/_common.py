@@ -1,78 +1,23 @@
-"""Shared plumbing of the training-data operators: table access, shared scratch tables, graph components."""
+"""Shared plumbing of the training-data operators: table access and shared scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+from caseloom.plans.scratch import discard
+from caseloom.plans.scratch import new_folder as new_scratch
+from caseloom.plans.scratch import written as materialize
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all machines share. A local one is set only where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="caseloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+__all__ = ["discard", "materialize", "new_scratch", "table", "unused"]
 
 
-def new_scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/caseloom/{uuid.uuid4().hex}-{tag}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of edges (a, b); comp is the smallest node of its component.
 
-    Contraction: every vertex hooks to its smallest neighbour, one pointer jump, then edges between
-    contracted vertices. Any vertex with a smaller neighbour disappears, so the rounds grow with the
-    logarithm of the longest path. Every round is a written table; no link reaches the driver.
-    Null endpoints and self loops are ignored; repeated edges count once.
-    """
-    e = materialize(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(),
-        "edges",
-    )
-    labels = None
-    while not e.isEmpty():
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            e.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        hook = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
-        up = hook.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        jump = materialize(hook.join(up, "p").select("u", "pp"), "jump")
-        if labels is None:
-            labels = jump.select(F.col("u").alias("node"), F.col("pp").alias("comp"))
-        else:
-            labels = labels.join(jump, labels["comp"] == jump["u"], "left").select(
-                "node", F.coalesce("pp", "comp").alias("comp")
-            )
-        labels = materialize(labels, "labels")
-        e = materialize(
-            e.join(jump.select(F.col("u").alias("a"), F.col("pp").alias("pa")), "a")
-            .join(jump.select(F.col("u").alias("b"), F.col("pp").alias("pb")), "b")
-            .where("pa <> pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-            .distinct(),
-            "edges",
-        )
-    if labels is None:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return labels
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none is a column of df: for columns that are added for a while."""
+    held, tail = {c.lower() for c in df.columns}, ""
+    while any((n + tail).lower() in held for n in names):
+        tail += "_"
+    return [n + tail for n in names]

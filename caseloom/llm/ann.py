@@ -7,9 +7,17 @@ follows the table (one for rows_per_part rows, at most max_parts, and sample_row
 partitions probed is the least that finds `recall` of the sample's own neighbours.
 
 Search: every row goes to its most probable partition, every query to its most probable ones, and the
-exact Euclidean distance, in double precision on the original vectors, ranks what is met. A partition
+exact Euclidean distance, in double precision on the original vectors, ranks what is met. A query that has
+met fewer than k other rows goes on to its next partitions, twice as many each time, until it has k or all are read. A partition
 (of rows or of queries) over `block` rows is split by a hash of vec_id and each pair of blocks is a
-group of its own, so no partition, however large, meets in one task; the best k of the blocks are then merged.
+group of its own, so no partition, however large, meets in one task; the best of the blocks are then merged.
+
+Of equal vectors only the k + 1 smallest vec_ids can be among anyone's k nearest, so only those are members, and
+equal queries are searched once: a vector that a third of all rows hold is as cheap as any other.
+
+A table whose partitions would hold more than rows_per_part rows is partitioned again: each partition gets a graph,
+a partitioning and a router of its own, fitted on at most sample_rows of its rows, and rows and queries are routed
+on within it. So the rows that a query meets do not grow with the table.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another dimension than the smallest valid vec_id's. Rows without vec_id take no part; of several rows
@@ -19,12 +27,14 @@ fewer rows; other columns are ignored; an empty table gives none.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm._common import materialize, table
+from caseloom.llm._common import discard, materialize, table
 
 
 def knn_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -141,51 +151,100 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
-def _route(model, probes: int):
+def _routed(router: Router | None, x: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The partitions of rank first .. last - 1 of each row, most probable first."""
+    if router is None:
+        return np.zeros((len(x), 1 if first == 0 else 0), np.int64)
+    return np.argsort(-router.scores(x), 1, kind="stable")[:, first:last]
+
+
+def _route(model, first: int, last: int):
     def run(batches):
         router = model.value
         for b in batches:
-            n, m = b.num_rows, probes if router else 1
-            if not n:
+            if not b.num_rows:
                 continue
-            order = np.argsort(-router.scores(_matrix(b.column(1))), 1, kind="stable")[:, :m] if router else np.zeros((n, 1), np.int64)
-            at = pa.array(np.repeat(np.arange(n), m))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(order.ravel().astype(np.int32))], names=["vec_id", "v", "part"])
+            order = _routed(router, _matrix(b.column(1)), first, last)
+            at = pa.array(np.repeat(np.arange(b.num_rows), order.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(order.ravel().astype(np.int32)), pa.array(np.zeros(order.size, np.int32))], names=["vec_id", "v", "part", "sub"])
+
+    return run
+
+
+def _fit_group(k: int, rows_per_part: int, max_parts: int, recall: float):
+    def run(key, t):
+        x = _matrix(t["v"])
+        parts = max(1, min(t["total"][0].as_py() // rows_per_part, max_parts, len(x) // 32))
+        router, probes = fit(x, parts, k, recall)
+        return pa.table([t["part"][:1], pa.array([pickle.dumps(router)], pa.binary()), pa.array([probes], pa.int32())], names=["part", "model", "probes"])
+
+    return run
+
+
+def _route_group(one: bool):
+    def run(rows: pa.Table, models: pa.Table) -> pa.Table:
+        rows = rows.select(["vec_id", "v", "part", "sub"])
+        if not rows.num_rows or not models.num_rows:
+            return rows
+        order = _routed(pickle.loads(models["model"][0].as_py()), _matrix(rows["v"]), 0, 1 if one else models["probes"][0].as_py())
+        rows = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), order.shape[1])))
+        return rows.set_column(3, "sub", pa.array(order.ravel().astype(np.int32)))
 
     return run
 
 
 def _rerank(k: int):
+    """The k nearest rows of each query of a group. A matrix product leaves out what is farther for certain, exact distances rank the rest."""
     names = ["query_id", "vec_id", "score"]
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if rows.num_rows and queries.num_rows:
             x, ids = _matrix(rows["v"]), rows["vec_id"].to_numpy()
-            order = np.argsort(ids)
-            x, ids = x[order], ids[order]
-            for q, v in zip(queries["vec_id"].to_pylist(), _matrix(queries["v"]), strict=True):
-                d = np.sqrt(((x - v) ** 2).sum(1))
-                d[ids == q] = np.inf
-                near = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
-                near = np.flatnonzero(d <= d[near].max())  # all ties of the last
-                near = near[np.lexsort((ids[near], d[near]))]
-                near = near[d[near] < np.inf][:k]
-                out_q += [q] * len(near)
-                out_v += ids[near].tolist()
-                out_s += d[near].tolist()
-        return pa.table([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=names)
+            qs, qids = _matrix(queries["v"]), queries["vec_id"].to_numpy()
+            sq = (x * x).sum(1)
+            for i in range(0, len(qs), 64):
+                q = qs[i : i + 64]
+                qq = (q * q).sum(1)[:, None]
+                rough = sq + qq - 2 * q @ x.T
+                slack = 1e-12 * (x.shape[1] + 8) * (sq.max() + qq)
+                most = (np.partition(rough, k - 1, 1)[:, k - 1 : k] if len(x) > k else rough.max(1, keepdims=True)) + 2 * slack
+                for j, near in enumerate(rough <= most) if np.isfinite(rough).all() else enumerate(np.ones(rough.shape, bool)):
+                    near = np.flatnonzero(near)
+                    d = np.sqrt(((x[near] - q[j]) ** 2).sum(1))
+                    best = np.lexsort((ids[near], d))[:k]
+                    out_q.append(np.full(len(best), qids[i + j]))
+                    out_v.append(ids[near[best]])
+                    out_s.append(d[best])
+        if not out_q:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        return pa.table([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], names=names)
 
     return run
 
 
-def _blocks(df: DataFrame, block: int) -> dict[int, int]:
-    """Partition -> number of blocks; at most max_parts rows."""
-    return {r["part"]: -(-r["count"] // block) for r in df.groupBy("part").count().collect()}
+KEY = ["part", "sub"]
+
 
+def _blocks(df: DataFrame, block: int, name: str) -> DataFrame:
+    """part, sub and the number of blocks of each partition."""
+    return df.groupBy(*KEY).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
 
-def _lookup(counts: dict[int, int]):
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("part")), F.lit(0)) if counts else F.lit(0)
+
+def _met(members: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: of each pair of a block of rows and a block of queries of a partition the k nearest."""
+    counts = F.broadcast(_blocks(members, block, "nm").join(_blocks(queries, block, "nq"), KEY))  # a row a partition
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    left = members.join(counts, KEY).withColumn("mb", own("nm")).withColumn("qb", each("nq")).drop("nm", "nq")
+    right = queries.join(counts, KEY).withColumn("qb", own("nq")).withColumn("mb", each("nm")).drop("nm", "nq")
+    key = [*KEY, "mb", "qb"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def search(rows: DataFrame, every: int = 100, k: int = 10, sample_rows: int = 8192, rows_per_part: int = 800, max_parts: int = 256, recall: float = 0.985, block: int = 4096) -> DataFrame:
@@ -193,24 +252,57 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, sample_rows: int = 81
     spark = rows.sparkSession
     valid = materialize(_valid(rows), "vectors")
     one = valid.orderBy("vec_id").select(F.size("v").alias("d")).limit(1).collect()
-    valid = valid.where(F.size("v") == (one[0]["d"] if one else 0))
-    n = valid.count()
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
+    same = valid.where(F.size("v") == (one[0]["d"] if one else 0))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    held = materialize(same.withColumn("at", rank).where(F.col("at") <= k + 1).drop("at"), "held")
+    asked = same.where(F.col("vec_id") % every == 0)
+    groups = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v"), "asked")
+    n = held.count()
+    sample = held.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
     parts = max(1, min(n // rows_per_part, max_parts, sample.num_rows // 32))
     router, probes = fit(_matrix(sample["v"]), parts, k, recall) if sample.num_rows else (None, 1)
     model = spark.sparkContext.broadcast(router)
-    routed = "vec_id long, v array<double>, part int"
-    members = materialize(valid.mapInArrow(_route(model, 1), routed), "members")
-    queries = materialize(valid.where(F.col("vec_id") % every == 0).mapInArrow(_route(model, probes), routed), "queries")
-    nm, nq = _blocks(members, block), _blocks(queries, block)
-    own = lambda c: F.pmod(F.xxhash64("vec_id"), F.greatest(_lookup(c), F.lit(1))).cast("int")
-    each = lambda c: F.explode(F.when(_lookup(c) > 0, F.sequence(F.lit(0), _lookup(c) - 1)).otherwise(F.array().cast("array<int>")))
-    left = members.withColumn("mb", own(nm)).withColumn("qb", each(nq))
-    right = queries.withColumn("qb", own(nq)).withColumn("mb", each(nm))
-    key = ["part", "mb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    routed = "vec_id long, v array<double>, part int, sub int"
+    members = materialize(held.mapInArrow(_route(model, 0, 1), routed), "members")
+    to = lambda q, first, last: q.mapInArrow(_route(model, first, last), routed)
+    queries = to(groups, 0, probes)
+    whole = members
+    if n > 2 * parts * rows_per_part:
+        place = Window.partitionBy("part").orderBy(F.xxhash64("vec_id"))
+        sizes = F.broadcast(members.groupBy("part").agg(F.count("*").alias("total")))  # max_parts rows
+        samples = members.withColumn("at", F.row_number().over(place)).where(F.col("at") <= sample_rows).select("part", "v").join(sizes, "part")
+        models = materialize(samples.groupBy("part").applyInArrow(_fit_group(k, rows_per_part, max_parts, recall), "part int, model binary, probes int"), "models")
+
+        def on(t: DataFrame, one: bool) -> DataFrame:
+            blocks = t.groupBy("part").agg(F.ceil(F.count("*") / (8 * block)).cast("int").alias("n"))
+            left = t.join(F.broadcast(blocks), "part").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")).drop("n")
+            right = models.join(F.broadcast(blocks), "part").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+            return left.groupBy("part", "b").cogroup(right.groupBy("part", "b")).applyInArrow(_route_group(one), routed)
+
+        members = materialize(on(members, True), "members")
+        queries = on(queries, False)
+    queries = materialize(queries, "queries")
+    found = materialize(_best(_met(members, queries, k + 1, block), k + 1).drop("rank"), "found")
+    wanted, first = min(k + 1, n), probes
+    while first < parts or (first == probes and members is not whole):  # some query may have met too few rows
+        counts = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= wanted)
+        short = materialize(groups.join(counts.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "short")
+        if short.isEmpty():
+            break
+        last = min(parts, 2 * first)
+        begin = 0 if members is not whole and first == probes else first  # of partitions of partitions none is known to be read whole
+        more = materialize(to(short, begin, last), "queries")
+        found = materialize(_best(_met(whole, more, k + 1, block).unionByName(found).distinct(), k + 1).drop("rank"), "found")
+        if last == parts:
+            break
+        first = last
+    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))  # k + 1 at most
+    of = lists.join(groups, lists["query_id"] == groups["vec_id"]).select("v", "near")
+    near = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = asked.withColumnRenamed("vec_id", "query_id").join(of, "v").select("query_id", F.posexplode(near).alias("at", "x"))
+    out = materialize(out.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score"), "neighbours")
+    discard(valid, held, groups, whole, members, queries, found)
+    return out
 
 
 def op10_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
