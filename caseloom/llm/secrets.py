@@ -14,7 +14,8 @@ merged first, so the interval join (equal row and bucket, then containment) give
 most and its output follows its input. Parts that touch a base span are not reported again.
 
 Matching positions come from the lengths of the pieces around the matches; texts without a match are
-settled by one test per kind.
+settled by one test per kind. Arrays are built in blocks and texts are cut in pieces of CHUNK code points, so time grows
+with a text's length and its number of matches, not with their product.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned alike; a null doc_id is kept;
 clashing names of extra columns are replaced by the result's.
@@ -22,11 +23,13 @@ clashing names of extra columns are replaced by the result's.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseloom.llm._common import materialize, table
+from caseloom.llm._common import materialize, table, unused
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -35,26 +38,55 @@ SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A
 ENDPOINT = r"https?://[^\s\"'<>]+|\b[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|cloudfront\.net|core\.windows\.net|googleapis\.com)\b"
 #: order of kinds at one start
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
-SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+ITEM = "struct<start:int,rank:int,kind:string,end:int>"
+SPAN = f"array<{ITEM}>"
+
+
+BLOCK, CHUNK = 128, 4096
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _scan(items: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The arrays that step(at, item) -> (next at, array) gives along items, joined; at is an int and starts at 0.
+    Arrays grow within a block only, and by blocks: appending one by one would copy all that came before each time."""
+    none = F.array().cast(f"array<{out}>")
+
+    def inner(acc: Column, x: Column) -> Column:
+        at, more = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], more).alias("out"))
 
+    def whole(x: Column) -> Column:
+        def outer(acc: Column, b: Column) -> Column:
+            block = F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), inner)
+            return _with(block, lambda y: F.struct(y["at"].alias("at"), F.concat(acc["out"], F.array(y["out"])).alias("out")))
 
-def _spans(text: Column, kind: str, pattern: str, value_group: int | None = None, least: int = 0) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{out}>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), begin, outer, lambda acc: F.flatten(acc["out"]))
+
+    return _with(items, lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(none))
+
+
+def _spans(text: Column, kind: str, pattern: str, value_group: int | None = None, least: int = 1) -> Column:
     """Spans of all matches whose value group (or whole) has at least `least` characters."""
     p, rank = F.lit(pattern), KINDS.index(kind)
-    pieces = F.transform(F.split(text, pattern, -1), F.length)
-    hits = F.regexp_extract_all(text, p, F.lit(0))
-    values = F.regexp_extract_all(text, p, F.lit(value_group)) if value_group else hits
-    lengths = F.zip_with(pieces, F.transform(hits, F.length), lambda a, b: F.struct(a.alias("gap"), b.alias("hit")))
-    zipped = F.zip_with(lengths, F.transform(values, F.length), lambda x, v: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    hits = F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.length)
+    found = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    if value_group:
+        values = F.transform(F.regexp_extract_all(text, p, F.lit(value_group)), F.length)
+        found = F.zip_with(found, values, lambda x, v: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), v.alias("value")))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + x["gap"]
         end = begin + F.coalesce(x["hit"], F.lit(0))
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(x["value"], F.lit(0)) >= max(1, least), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return end, F.when(F.coalesce(x["value" if value_group else "hit"], F.lit(0)) >= least, F.array(span)).otherwise(F.array().cast(SPAN))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), _scan(found, ITEM, step)).otherwise(F.array().cast(SPAN))
 
 
 def _text(spans: Column) -> Column:
@@ -68,8 +100,18 @@ def _base(text: Column) -> dict[str, Column]:
 def _parts(text: Column) -> Column:
     """Candidates for linking that touch no base span; only looked for beside an access identifier."""
     loose = F.concat(_spans(text, "secret", SECRET), _spans(text, "endpoint", ENDPOINT))
-    free = F.filter(loose, lambda s: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.when(F.size("access") > 0, free).otherwise(F.array().cast(SPAN))
+    base, some = F.concat("assign", "access", "hex"), F.array().cast(SPAN)
+    is_base = lambda s: s["rank"] <= 2
+    last = 1 << 30
+
+    def after(at: Column, s: Column) -> tuple[Column, Column]:  # at: where the base spans so far end
+        return F.when(is_base(s), F.greatest(at, s["end"])).otherwise(at), F.when(is_base(s) | (s["start"] >= at), F.array(s)).otherwise(some)
+
+    def before(at: Column, s: Column) -> tuple[Column, Column]:  # at: last - where the next base span starts, 0 if there is none
+        return F.when(is_base(s), F.lit(last) - s["start"]).otherwise(at), F.when(~is_base(s) & ((at == 0) | (s["end"] <= F.lit(last) - at)), F.array(s)).otherwise(some)
+
+    free = _with(F.sort_array(F.concat(base, loose)), lambda x: _scan(F.sort_array(_scan(x, ITEM, after), asc=False), ITEM, before))
+    return F.when(F.size("access") > 0, free).otherwise(some)
 
 
 def _link(rows: DataFrame, reach: int) -> DataFrame:
@@ -112,29 +154,33 @@ def redact_secrets(docs: DataFrame, reach: int = 400) -> DataFrame:
     """docs with every span in text replaced by [kind]; all columns and rows kept. Texts without an
     access identifier are settled in place; only the others meet the linked spans in a join."""
     has = F.coalesce(F.contains(F.col("text"), F.lit("AKIA")), F.lit(False))
-    plain = docs.where(~has)
-    plain = plain.withColumn("text", _redacted(F.concat(*_base(F.coalesce("text", F.lit(""))).values())))
+    plain = docs.where(~has).withColumn("text", _redacted(F.concat(*_base(F.coalesce("text", F.lit(""))).values())))
     some = docs.where(has)
-    key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h")]
-    rows = some.select(*key, F.col("text").alias("_t")).withColumn("row", F.struct("_id", "_h"))
-    rows = materialize(rows.withColumns(_base(F.col("_t"))).withColumn("parts", _parts(F.col("_t"))).drop("_t").dropDuplicates(["_id", "_h"]), "spans")
+    own_id, own_hash, found = unused(docs, "_id", "_hash", "_spans")
+    rows = some.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias("row"), F.col("text").alias("_t"))
+    rows = materialize(rows.withColumns(_base(F.col("_t"))).withColumn("parts", _parts(F.col("_t"))).drop("_t").dropDuplicates(["row"]), "spans")
     linked = _link(rows, reach)
-    spans = rows.join(linked, "row", "left").select("_id", "_h", F.concat("assign", "access", "hex", F.coalesce("linked", F.array().cast(SPAN))).alias("_spans"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    some = some.join(spans, on, "left").withColumn("text", _redacted(F.col("_spans"))).select(*docs.columns)
+    spans = rows.join(linked, "row", "left").select(
+        F.col("row.id").alias(own_id), F.col("row.hash").alias(own_hash), F.concat("assign", "access", "hex", F.coalesce("linked", F.array().cast(SPAN))).alias(found)
+    )
+    on = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash))
+    some = some.join(spans, on, "left").withColumn("text", _redacted(F.col(found))).select(*docs.columns)
     return plain.select(*docs.columns).unionByName(some)
 
 
 def _redacted(spans: Column) -> Column:
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """text with the spans replaced; of overlapping spans the first names the kind."""
+
+    def cut(chunks: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice(chunks, i + 1, j - i + 1), ""), a - i * CHUNK + 1, b - a)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def whole(chunks: Column, s: Column) -> Column:
+        step = lambda at, x: (F.greatest(at, x["end"]), F.when(x["start"] >= at, F.array(F.concat(cut(chunks, at, x["start"]), F.lit("["), x["kind"], F.lit("]")))).otherwise(F.array().cast("array<string>")))
+        return F.concat(F.array_join(_scan(s, "string", step), ""), cut(chunks, F.array_max(F.transform(s, lambda x: x["end"])), F.length("text")))
 
-    whole = F.aggregate(F.sort_array(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return F.when(F.size(spans) > 0, whole).otherwise(F.col("text"))
+    chunks = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _with(F.struct(chunks.alias("c"), F.sort_array(spans).alias("s")), lambda x: whole(x["c"], x["s"]))).otherwise(F.col("text"))
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
