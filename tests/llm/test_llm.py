@@ -149,39 +149,72 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
-def test_substring_dedup_against_brute_force(spark, odd, empty):
-    shared = "a passage of quite some words that repeats. it has a second sentence as well! short one."
-    rows = [(1, f"Own beginning of the first text here. {shared} end"), (2, f"another beginning, which differs\n{shared.upper()}\nand an end"), (3, "short one."), (4, "nothing repeated in this text at all."), (5, None), (6, "")]
-    first, want = {}, {}
-    for i, t in rows:
-        for u, s, e, d in substring_dedup.units(t or "", 5):
-            if first.setdefault(d, (i, u)) != (i, u):
-                want.setdefault(i, []).append((s, e))
-    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs(spark, rows)).collect()}
-    assert {i: [tuple(s) for s in r["removed_spans"]] for i, r in got.items() if r["n_removed"]} == want and set(want) == {2}
-    assert got[2]["clean_text"].split() == "another beginning, which differs and an end".split() and got[4]["clean_text"] == rows[3][1]
-    assert substring_dedup.dedup_substrings(odd).count() == 10 and substring_dedup.dedup_substrings(empty).count() == 0
+def split_units(text):
+    """(start, end, words) of lines and, in them, of sentences: character by character, apart from the operator's regex."""
+    out, at = [], 0
+    while at < len(text):
+        if text[at].isspace():
+            at += 1
+            continue
+        end = at + 1
+        while end < len(text) and text[end] != "\n" and not (text[end - 1] in ".!?" and text[end].isspace()):
+            end += 1
+        out.append((at, at + len(text[at:end].rstrip()), tuple(text[at:end].casefold().split())))
+        at = end
+    return out
+
+
+def brute_dedup(rows, min_words):
+    """(doc_id, text) -> clean text: every unit in a run that an earlier text or place holds goes."""
+    seen, out = set(), []
+    for _, t in sorted(rows, key=lambda r: r[0]):
+        units, gone = split_units(t or ""), set()
+        for i in range(len(units)):
+            j = i
+            while j >= 0 and sum(len(u[2]) for u in units[j : i + 1]) < min_words:
+                j -= 1
+            if j < 0:
+                continue
+            run = tuple(u[2] for u in units[j : i + 1])
+            if run in seen:
+                gone |= set(range(j, i + 1))
+            seen.add(run)
+        kept, at = "", 0
+        for i in sorted(gone):
+            s, e, _ = units[i]
+            kept += t[at:s] if s >= at else ""
+            at = e
+            while at < len(t) and t[at].isspace():
+                at += 1
+        out.append(kept + t[at:] if t else t)
+    return out
 
 
-def test_runs_of_short_units_go(spark):
+def test_substring_dedup_against_brute_force(spark, odd, empty):
+    passage = "a passage of quite some words that repeats. it has a second sentence as well! then one more, which is not so short."
     lines = "\n".join(f"line {i}" for i in range(40))
-    rows = [(1, lines), (2, lines), (3, "WORD!! " * 60), (4, "WORD!! " * 60), (5, f"Title\n{lines}"), (6, "Title\nand one sentence of its own here."), (7, "Title\nAnd one sentence of its own here."), (8, "a b. c d.")]
-    got = {r["doc_id"]: r["clean_text"] for r in substring_dedup.dedup_substrings(docs(spark, [*rows, (9, "a b. c d.")])).collect()}
-    assert got[1] == lines and got[2] == got[4] == got[7] == "" and got[3].split() == ["WORD!!"] * 5
-    assert got[5] == "Title\nline 0\nline 1\n" and got[6] == rows[5][1] and got[8] == got[9] == rows[7][1]
-    for _, t in rows[:-1]:
-        assert [i for i, *_ in substring_dedup.units(t, 5)] == list(range(len(substring_dedup.UNIT.findall(t))))
+    rows = [
+        (1, f"Own beginning of the first text here. {passage} end"), (2, f"another beginning, which differs\n{passage.upper()}\nand an end"), (3, "short one."), (4, "nothing repeated in this text at all."),
+        (5, None), (6, ""), (7, lines), (8, f"Title\n{lines}"), (9, "WORD!! " * 60), (10, "WORD!! " * 60), (11, f"spliced {passage} into a sentence"), (12, "x. y? " * 9 + passage),
+        (13, "Is it v1.2?  yes.no! done"), (14, f"{passage} {passage}"),
+    ]
+    for n in (5, 12, 20):
+        got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs(spark, rows), n).collect()}
+        assert [got[i]["clean_text"] for i, _ in rows] == brute_dedup(rows, n)
+        for i, t in rows:
+            spans = [tuple(x) for x in got[i]["removed_spans"]]
+            assert substring_dedup.cut(t, spans) == got[i]["clean_text"] if t else not spans
+            assert got[i]["n_removed"] == len(spans) and got[i]["removed_chars"] == sum(e - s for s, e in spans)
+    assert got[2]["clean_text"].split() == "another beginning, which differs and an end".split() and got[2]["kept_doc_ids"] == [1]
+    assert got[8]["clean_text"] == "Title\n" and got[10]["clean_text"] == "" and got[14]["clean_text"] == "" and got[3]["clean_text"] == "short one."
+    assert substring_dedup.dedup_substrings(odd).count() == 10 and substring_dedup.dedup_substrings(empty).count() == 0
 
 
-def test_dedup_query_returns_every_document(spark):
+def test_dedup_query_against_brute_force(spark):
     want = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    first, clean, removed = {}, {}, {}
-    for i in sorted(want):
-        spans = [(s, e) for u, s, e, d in substring_dedup.units(want[i] or "", 5) if first.setdefault(d, (i, u)) != (i, u)]
-        clean[i], removed[i] = want[i] and substring_dedup.cut(want[i], spans), len(spans)
     got = substring_dedup.op4_substring_dedup(spark, SF).collect()
-    assert len(got) == len(want) and {r["doc_id"]: r["text"] for r in got} == clean and {r["doc_id"]: r["n_removed"] for r in got} == removed
-    assert any(removed.values()) and not all(removed.values())
+    assert len(got) == len(want) and [r["text"] for r in sorted(got, key=lambda r: r["doc_id"])] == brute_dedup(want.items(), 20)
+    assert any(r["n_removed"] for r in got) and not all(r["n_removed"] for r in got)
 
 
 def test_classifiers_edge_cases(spark, odd, empty):
@@ -242,11 +275,75 @@ def test_secret_beside_any_other_character(spark, form):
     assert sec not in secrets.redact_secrets(d).where("doc_id = 1").first()["text"]
 
 
-def test_neighbours_recall_and_edges(spark):
+def brute_spans(text):
+    """Base spans by Python's re."""
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_secret_query_against_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = secrets.op9_secret_scan(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts) and any(r["n_assign"] + r["n_access"] + r["n_hex"] for r in got)
+    for r in got:
+        base = brute_spans(texts[r["doc_id"]])
+        text = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and set(text.split(",")) <= {*r["spans"].split(","), ""}
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, _, k, _ in base) for x in ("assign", "access", "hex"))
+
+
+def test_secrets_of_a_long_text(spark):
+    """16,000 matches in half a megabyte, beside access identifiers and endpoints."""
+    part = "".join(f"{i:032x} " for i in range(15_000))
+    text = part + "".join(f"é AKIA{i:016d} {'aB3' * 13}x https://h.example/{i} " for i in range(500))
+    d = docs(spark, [(1, text)])
+    got = secrets.scan_secrets(d).first()
+    assert (got["n_hex"], got["n_access"], got["n_linked"]) == (15_000, 500, 1000)
+    assert [tuple(s) for s in got["spans"] if s["rank"] < 3] == brute_spans(text)
+    clean = secrets.redact_secrets(d).first()["text"]
+    assert clean == "[hex] " * 15_000 + "é [access] [secret] [endpoint] " * 500
+
+
+def test_extra_columns_with_clashing_names(spark):
+    names = ["_key", "_many", "_id", "_hash", "_h", "_spans", "_kept", "_row", "_u", "_cell_source", "c0", "row", "linked", "clean_text", "tokens", "_dedup_id", "_text", "n", "component_id"]
+    a, b = "some words of a text that is long enough to be found again in here, twenty of them at the least, yes", "AKIA" + "ABCDEFGHIJKL2345 password=longenough1 https://h.example/x and 7 more words"
+    rows = [(i, t, "en", "s", *range(len(names))) for i, t in enumerate((a, a, b, None, "", a.upper()))]
+    d = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {', '.join(f'{n} int' for n in names)}")
+    bench = spark.createDataFrame([(1, "no such item in any of these texts at all")], "item_id long, text string")
+    for out, n in ((ngram_join.one_of_each(d), 4), (decontaminate.decontaminate(d, bench), 6), (secrets.redact_secrets(d), 6), (substring_dedup.dedup_substrings(d), 6), (mixing.mix(d, mixing.TARGETS, fraction=1.0), 4)):
+        got = out.collect()
+        assert len(got) == n and all(r["_id"] == 2 and r["_u"] == 8 and r["c0"] == 10 and r["_key"] == 0 and r["linked"] == 12 for r in got)
+
+
+def test_few_queries_never_come_up_short(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1600, 8)) * 0.01
+    x[:5] = 50 + 30 * rng.normal(size=(5, 8))
+    x[100:400] = x[100]
+    for parts in (256, 4):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows_per_part=100, max_parts=parts, block=300).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert set(by) == set(range(0, 1600, 100)) and all([k for k, _, _ in sorted(v)] == list(range(1, 11)) for v in by.values())
+        same = [i for i in range(100, 112) if i != 100][:10]
+        assert [i for _, i, _ in sorted(by[100])] == same and [i for _, i, _ in sorted(by[200])] == list(range(100, 110))
+    few = ann.search(spark.createDataFrame([(i, x[i].tolist()) for i in range(4)], "vec_id long, embedding array<double>"), every=1).collect()
+    assert len(few) == 12
+
+
+@pytest.mark.parametrize("max_parts", [256, 6])
+def test_neighbours_recall_and_edges(spark, max_parts):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9100, [0.0] * 16), (9200, [float("nan")] * 16), (9300, [1.0]), (None, x[0].tolist()), (7, x[7].tolist())]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows_per_part=250, block=200).collect()
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows_per_part=250 if max_parts == 256 else 100, max_parts=max_parts, block=200).collect()
     hit = 0
     for q in range(0, 4000, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
