@@ -3,12 +3,13 @@
 Writing: of the records with equal payloads of min_payload bytes or more the one with the smallest
 page_id is a response, the others are revisits that refer to it and carry no payload. Digests are
 grouped before anything else moves; only repeated ones are joined to the pages, so a payload that a third of all
-pages share is split like any skewed join. Each task writes archives of about file_bytes under names of its own; an
+pages share is split like any skewed join (null and small payloads join under keys of their own). Each task writes archives of about file_bytes under names of its own; an
 archive counts once the job has committed its row in the manifest, so a lost or repeated task leaves
 at most files that nobody reads.
 
 Reading: a file at a time, incremental zlib decompression, one record header, then content-length
-bytes, hashed as they come; block and payload digests are verified and a mismatch is an error. Memory
+bytes, hashed as they come; block and payload digests are verified and a mismatch is an error, and so is a
+revisit whose digest and length are not those of the response it refers to. Memory
 is a few buffers, whatever the record's size (the payload itself is kept only on demand).
 
 The folder may be on any file system that pyarrow opens (file, hdfs, s3, gs).
@@ -69,7 +70,8 @@ def write_warcs(pages: DataFrame, folder: str, min_payload: int = 100, file_byte
     keyed = rows.select("page_id", "digest").where(F.octet_length("html") >= min_payload)
     first = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     big = F.octet_length("html") >= min_payload
-    rows = rows.join(first, "digest", "left").withColumn("refers_to", F.when(big & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    key = F.when(big, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url")))
+    rows = rows.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left").withColumn("refers_to", F.when(big & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     rows = rows.select("page_id", "url", "html", "digest", "refers_to")
 
     def run(batches):
@@ -205,13 +207,24 @@ def read_warcs(manifest: DataFrame, keep_payload: bool = False, batch: int = 256
                 held = []
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in kinds.items()], names=list(kinds))
 
-    files = manifest.select("path").repartition("path")
+    files = manifest.select("path").repartition(max(1, manifest.count()))  # an archive to a task
     return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
+def verify_revisits(records: DataFrame) -> None:
+    """Raise ValueError if a revisit refers to no response of its digest and length."""
+    has = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    told = records.where("record_type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    bad = told.join(has, ["refers_to", "payload_digest", "payload_bytes"], "left_anti").limit(1).collect()
+    if bad:
+        raise ValueError(f"a revisit refers to page {bad[0]['refers_to']}, which has no response of its digest")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warcs(table(spark, sf_dir, "pages"), new_scratch(spark, "warc"))
-    return read_warcs(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    records = materialize(read_warcs(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"), "records")
+    verify_revisits(records)
+    return records
 
 
 OP8_SQL = """
