@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from caseloom.llm._common import materialize, table
+from caseloom.llm._common import materialize, table, unused
 from caseloom.llm.textkernel import words
 
 DIMS = ("source", "lang", "topic")
@@ -179,12 +179,13 @@ def mix(docs: DataFrame, targets: dict, fraction: float = 0.5, seed: int = 17, m
     key = {d: F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMS}
     cells = materialize(rows.groupBy(*[c.alias(d) for d, c in key.items()]).agg(F.sum("tokens").alias("tokens")), "cells")
     p = _probabilities(cells, targets, fraction, max_cells)
-    p = p.select(*[F.col(d).alias(f"_cell_{d}") for d in DIMS], F.col("weight").alias("mix_weight"), F.col("p").alias("mix_p"))
+    *cell, u = unused(rows, *[f"_cell_{d}" for d in DIMS], "_u")
+    p = p.select(*[F.col(d).alias(c) for d, c in zip(DIMS, cell, strict=True)], F.col("weight").alias("mix_weight"), F.col("p").alias("mix_p"))
     on = F.lit(True)
-    for d, c in key.items():
-        on = on & (c == F.col(f"_cell_{d}"))
-    kept = rows.drop("mix_weight", "mix_p").withColumn("_u", draw("doc_id", seed)).join(p, on)
-    return kept.where("tokens > 0 AND _u < mix_p").drop("_u", *[f"_cell_{d}" for d in DIMS])
+    for name, c in zip(cell, key.values(), strict=True):
+        on = on & (c == F.col(name))
+    kept = rows.drop("mix_weight", "mix_p").withColumn(u, draw("doc_id", seed)).join(p, on)
+    return kept.where((F.col("tokens") > 0) & (F.col(u) < F.col("mix_p"))).drop(u, *cell)
 
 
 #: what the registered query mixes to: tempered sources and topics, fixed languages
