@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values of the matching contract
 APOSTROPHES = "’‘ʼ＇"
@@ -23,62 +28,95 @@ _STRAIGHT = {ord(c): "'" for c in APOSTROPHES}
 _SPELLING = re.compile(r"\b(?:" + "|".join(sorted(SPELLINGS, key=len, reverse=True)) + r")\b")
 
 
-def normalize(text: str) -> str:
-    """NFKC, case folding, straight apostrophes, single spaces, one spelling."""
-    text = unicodedata.normalize("NFKC", text).casefold().translate(_STRAIGHT)
-    return _SPELLING.sub(lambda m: SPELLINGS[m[0]], " ".join(text.split()))
+def _folded(text: str) -> str:
+    return unicodedata.normalize("NFKC", text).casefold().translate(_STRAIGHT)
+
+
+def _spelled(text: str) -> str:
+    return _SPELLING.sub(lambda m: SPELLINGS[m[0]], text)
 
 
-def clusters(text: str):
-    """(start, end) of the smallest runs that NFKC maps independently of what follows."""
-    i, n = 0, len(text)
-    while i < n:
-        j = i + 1
-        while j < n and not _splits(text[i:j], text[j]):
-            j += 1
-        yield i, j
-        i = j
+def normalize(text: str) -> str:
+    """NFKC, case folding, straight apostrophes, single spaces, one spelling."""
+    return _spelled(" ".join(_folded(text).split()))
+
+
+@lru_cache(1)
+def _joining() -> np.ndarray:
+    """For each code point: 0 NFKC never joins it to what stands before, 1 it may (second half of some composition), 2 it always can (a mark)."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    seconds = {chr(c) for lo, hi in ((0x1161, 0x1175), (0x11A8, 0x11C2)) for c in range(lo, hi + 1)}  # Hangul vowels and finals
+    for c in map(chr, range(sys.maxunicode + 1)):
+        d = unicodedata.decomposition(c)
+        if d and d[0] != "<" and " " in d:
+            seconds.add(chr(int(d.split()[1], 16)))
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        first = unicodedata.normalize("NFKD", c)[0]
+        out[ord(c)] = 2 if unicodedata.combining(first) else first in seconds
+    return out
 
 
-def _splits(head: str, c: str) -> bool:
-    if head.isascii() and c.isascii():
-        return True
+def _pieces(text: str) -> np.ndarray:
+    """Starts of the shortest pieces that NFKC maps on their own."""
+    kind = _joining()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    start = kind == 0
+    start[:1] = True
     nfkc = unicodedata.normalize
-    first = nfkc("NFKD", c)[:1]
-    if first and unicodedata.combining(first):
-        return False
-    return nfkc("NFKC", head + c) == nfkc("NFKC", head) + nfkc("NFKC", c)
-
-
-def normalized_offsets(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """normalize(text) and, for each of its characters, the source span it comes from."""
-    chars: list[str] = []
-    spans: list[tuple[int, int]] = []
-    for a, b in clusters(text):
-        for c in unicodedata.normalize("NFKC", text[a:b]).casefold().translate(_STRAIGHT):
-            if not c.isspace():
-                chars.append(c)
-                spans.append((a, b))
-            elif chars and chars[-1] == " ":
-                spans[-1] = (spans[-1][0], b)
-            elif chars:
-                chars.append(" ")
-                spans.append((a, b))
-    if chars and chars[-1] == " ":
-        chars.pop()
-        spans.pop()
-    # spellings have equal lengths, so spans stay in place
-    return _SPELLING.sub(lambda m: SPELLINGS[m[0]], "".join(chars)), spans
+    for i in np.flatnonzero((kind == 1) & ~start).tolist():  # rare: whether they compose depends on what stands before
+        a = i - 1 - int(np.argmax(start[i - 1 :: -1]))
+        start[i] = nfkc("NFKC", text[a : i + 1]) == nfkc("NFKC", text[a:i]) + nfkc("NFKC", text[i])
+    return np.flatnonzero(start)
+
+
+def normalized_offsets(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """normalize(text) and, for each of its characters, start and end of the source span it comes from."""
+    if text.isascii():
+        out, begin = text.lower(), np.arange(len(text))
+        end = begin + 1
+    else:
+        begin = _pieces(text)
+        end = np.append(begin[1:], len(text))
+        known: dict[str, str] = {}
+        parts = [text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        parts = [known[p] if p in known else known.setdefault(p, _folded(p)) for p in parts]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        out, begin, end = "".join(parts), np.repeat(begin, size), np.repeat(end, size)
+    blank = np.fromiter(map(str.isspace, out), bool, len(out))
+    if not blank.all():
+        inner = np.flatnonzero(~blank)[[0, -1]]
+        keep = ~blank
+        keep[1:] |= ~blank[:-1]  # a run of white space is its first character
+        keep[: inner[0]] = keep[inner[1] + 1 :] = False
+        at = np.flatnonzero(keep)
+        last = np.append(at[1:], inner[1] + 1) - 1
+        out = "".join([" " if b else c for c, b in zip(map(out.__getitem__, at.tolist()), blank[at].tolist(), strict=True)])
+        begin, end = begin[at], end[last]
+    else:
+        out, begin, end = "", begin[:0], end[:0]
+    return _spelled(out), begin, end  # spellings have equal lengths
+
+
+def compatibility_class() -> str:
+    """Inside of a regex class: the non-ASCII characters whose normal form holds an ASCII letter."""
+    hits = [c for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and re.search("[a-z]", _folded(chr(c)))]
+    at = np.array(hits)
+    cuts = np.flatnonzero(np.diff(at) > 1)
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(at[np.append(0, cuts + 1)], at[np.append(cuts, len(at) - 1)], strict=True))
+
+
+@F.pandas_udf(StringType())
+def _normalize_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(normalize, na_action="ignore")
 
 
 def normalize_column(c: Column) -> Column:
-    """The same in JVM functions, exact where NFKC changes nothing and ß is the only character that case folding expands."""
-    out = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    out = F.translate(out, APOSTROPHES, "'" * len(APOSTROPHES))
-    out = F.trim(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]+", " "))
+    """normalize() as a column: JVM functions for ASCII texts, which the Arrow UDF for the others gets as nulls."""
+    ascii_ = c.rlike(r"^[\x00-\x7F]*$")
+    low = F.trim(F.regexp_replace(F.lower(c), r"[\s\x0B\x1c-\x1f]+", " "))
+    spelled = low
     for a, b in SPELLINGS.items():
-        out = F.regexp_replace(out, rf"(?U)\b{a}\b", b)
-    return out
+        spelled = F.regexp_replace(spelled, rf"\b{a}\b", b)
+    return F.when(ascii_, F.when(low.rlike("recognis|realis"), spelled).otherwise(low)).otherwise(_normalize_udf(F.when(~ascii_, c)))
 
 
 def typed_id(c: Column, kind: str = "t3") -> Column:
@@ -125,3 +163,24 @@ def utf16_units(c: Column) -> Column:
 def sheet_literal(c: Column) -> Column:
     """Text that a spreadsheet would take for a formula gets a leading apostrophe."""
     return F.when(c.rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+def sheet_cell(c: Column) -> Column:
+    """sheet_literal(), and numbers and ISO times kept as text as well."""
+    number, time = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    return F.when(c.rlike(r"^\s*[=+\-@]") | c.rlike(number) | c.rlike(time), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+def utc_date(seconds: Column) -> Column:
+    """Day of epoch seconds in UTC, null where unknown."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+
+
+def account_age(at: Column, created: Column) -> Column:
+    """Seconds since the account was made; null before that or where either is unknown."""
+    return F.when(at >= created, at - created)
+
+
+def month_number(month: Column) -> Column:
+    """'YYYY-MM' as an integer that sorts like it."""
+    return F.replace(month, F.lit("-"), F.lit("")).cast("int")

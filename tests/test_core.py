@@ -40,9 +40,9 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("text", ["Straße ﬁn x", "각 각", "ẹ́ ạ́", "Ａｂ　Ｃ", "😀 RECOGNISED\t my\npost", "", " \n ", "ཱཱིི", "কো", "İ"])
 def test_offsets_follow_normalisation(text):
-    norm, spans = normalized_offsets(text)
-    assert norm == normalize(text) and len(norm) == len(spans)
-    assert all(0 <= a < b <= len(text) for a, b in spans)
+    norm, begin, end = normalized_offsets(text)
+    assert norm == normalize(text) and len(norm) == len(begin) == len(end)
+    assert all(0 <= a < b <= len(text) for a, b in zip(begin, end, strict=True))
 
 
 def test_offsets_of_all_decomposable_characters():
