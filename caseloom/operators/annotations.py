@@ -141,3 +141,73 @@ def gate(rows: DataFrame, agree: Column, needed: int) -> DataFrame:
 
 def all_rules(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
+
+
+#: why a placeholder's values are unknown; fixed values of the annotation contract
+PENDING_REASONS = {
+    "historical_account_creation": "not_in_source", "lifetime_history": "not_collected", "weekly_visitors_at_posting": "not_in_source", "weekly_contributors_at_posting": "not_in_source",
+    "traffic_at_posting": "not_in_source", "upvotes_downvotes": "not_in_source", "current_account_status": "not_observed", "current_post_status": "not_observed", "is_self": "not_in_source",
+    "upvote_ratio": "not_in_source", "actors": "not_reviewed", "discovery": "not_reviewed", "outcomes": "not_reviewed", "post_intent": "not_reviewed",
+}
+
+
+def post_properties(post: str = "") -> Column:
+    """Properties of an archived post as a struct; nulls throughout where there is no post. Columns are read under the prefix `post`."""
+    c = lambda n: F.col(f"{post}{n}")
+    text = c("selftext")
+    state = F.when(text == "[deleted]", "deleted placeholder").when(text == "[removed]", "removed placeholder").when(text.isNull(), "missing").when(text == "", "empty").otherwise("text")
+    return F.struct(
+        c("typed_id").alias("post_id"), c("subreddit").alias("subreddit"), c("canonical_permalink").alias("permalink"), c("title").alias("title"), text.alias("full_text"), c("created_utc").alias("created_utc"),
+        F.when(c("typed_id").isNotNull(), state).alias("archive_text_availability"),
+    )
+
+
+def pending_annotations(bundles: DataFrame, posts: DataFrame, reason: str = "model_not_configured") -> DataFrame:
+    """A schema-complete placeholder for each bundle: label Unsure, the original's properties, why each unknown is unknown.
+
+    bundles: incident_id, content_hash, original_post_id, original_resolution_status, seed_record_ids, observed_posts (count); posts: as in post_properties.
+    """
+    p = posts.select(*[F.col(c).alias(f"p_{c}") for c in posts.columns])
+    rows = bundles.join(p, F.col("original_post_id") == F.col("p_typed_id"), "left")
+    reasons = F.create_map(F.lit("classification"), F.lit(reason), *[F.lit(x) for kv in PENDING_REASONS.items() for x in kv])
+    return rows.select(
+        "incident_id", "content_hash", "seed_record_ids", post_properties("p_").alias("original"), "original_resolution_status", F.lit("Unsure").alias("label"), F.lit("pending_model_review").alias("review_status"),
+        F.array().cast(EVIDENCE).alias("evidence"), F.col("observed_posts").alias("series_observed_count"), F.lit(f"Not classified. {reason}").alias("rationale"), reasons.alias("missingness"),
+        F.lit("unclassified schema-complete placeholder").alias("method"),
+    )
+
+
+def place_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """quotes with raw_start, raw_end (code points) of their first occurrence and problem: unknown_record, unknown_field, empty_quote or not_exact.
+
+    quotes: record_id, field, quote and others; texts: record_id, field, text (as long_fields gives them). A quote that is no exact substring is never mended.
+    """
+    known = texts.select(F.col("record_id"), F.lit(True).alias("_known")).distinct()
+    rows = quotes.join(texts, ["record_id", "field"], "left").join(known, "record_id", "left")
+    at = F.instr(F.col("text"), F.col("quote"))
+    problem = F.when(F.coalesce(F.col("quote"), F.lit("")) == "", "empty_quote").when(F.col("_known").isNull(), "unknown_record").when(F.col("text").isNull(), "unknown_field").when(at == 0, "not_exact")
+    return rows.withColumns({"problem": problem, "raw_start": F.when(problem.isNull(), at - 1), "raw_end": F.when(problem.isNull(), at - 1 + F.length("quote"))}).drop("text", "_known")
+
+
+def review_problems(decisions: DataFrame, bundles: DataFrame, evidence: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """(incident_id, problem) of reviews that may not be converted. One row per problem.
+
+    decisions: incident_id, label, reviewed_record_ids, claimed (groups with values), original_intent; bundles: incident_id, record_ids,
+    original_missing; evidence: incident_id, supports (groups), problem (of place_quotes). A review covers exactly the records of its bundle, Yes
+    has evidence, every claimed group is supported by some evidence of the review, quotes are exact, and intent is Unclear where the original is missing.
+    """
+    e = evidence.groupBy("incident_id").agg(F.count("*").alias("_n"), F.array_distinct(F.flatten(F.collect_list("supports"))).alias("_supports"), F.count_if(F.col("problem").isNotNull()).alias("_bad"))
+    rows = decisions.join(bundles, "incident_id", "left").join(e, "incident_id", "left")
+    none = F.array().cast("array<string>")
+    held, claimed = F.coalesce("_supports", none), F.array_intersect(F.coalesce("claimed", none), F.array(*[F.lit(g) for g in groups]))
+    problems = {
+        "unknown_incident": F.col("record_ids").isNull(),
+        "records_not_covered": F.col("record_ids").isNotNull() & (F.array_sort(F.coalesce("reviewed_record_ids", none)) != F.array_sort("record_ids")),
+        "yes_without_evidence": (F.col("label") == "Yes") & (F.coalesce("_n", F.lit(0)) == 0),
+        "quote_not_exact": F.coalesce("_bad", F.lit(0)) > 0,
+        "unsupported_group": F.size(F.array_except(claimed, held)) > 0,
+        "unknown_group": F.size(F.array_except(F.array_union(held, F.coalesce("claimed", none)), F.array(*[F.lit(g) for g in groups]))) > 0,
+        "intent_of_missing_original": F.coalesce("original_missing", F.lit(False)) & ~F.coalesce(F.col("original_intent") == "Unclear", F.lit(False)),
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in problems.items()]))
+    return rows.select("incident_id", F.explode(found).alias("problem"))

@@ -11,10 +11,12 @@ from caseloom.functions.text import real_author, typed_id
 SERIES_CUE = r"(?iu)\b(?:my (?:previous|original|earlier|last) (?:post|update)|original post|previous update|earlier update|next update|follow[- ]?up|update\s*[1-9]|part\s*[1-9]|(?:my|the) (?:first|second|third) post)\b"
 EARLIER_CUE = r"(?iu)\b(original|previous|earlier|first)\b"
 PRESERVATION_CUE = r"(?iu)(?:copy of (?:the )?(?:original|post)|original post (?:by|text)|preserv(?:ed|ation)|in case (?:this|it) (?:gets|is) deleted)"
+THREAD_URL = r"(?i)(?:https?://(?:(?:www|old|np|new)\.)?reddit\.com)?/(?:r/[^/\s)]+/)?comments/([a-z0-9]+)(?:/[^\s<>\])]*?)?(?=[\s<>\])]|$)|https?://redd\.it/([a-z0-9]+)"
+SITE_WORD = "reddit"
 COPY_CHARS, REACH = 100, 180
 
 
-def extract_links(records: DataFrame, field: str, pattern: str, id_group: int = 1) -> DataFrame:
+def extract_links(records: DataFrame, field: str, pattern: str = THREAD_URL, id_groups: tuple[int, ...] = (1, 2)) -> DataFrame:
     """One row per URL of a field: source and target thread, url, its code-point span, quote, relationship, supported.
 
     records: typed_id, thread_id, kind, author, original_author and the field. Positions come from the
@@ -22,9 +24,10 @@ def extract_links(records: DataFrame, field: str, pattern: str, id_group: int =
     """
     text = F.coalesce(F.col(field), F.lit(""))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ids = F.regexp_extract_all(text, F.lit(pattern), F.lit(id_group))
-    rows = records.where(text.rlike(pattern)).select("typed_id", "thread_id", "kind", "author", "original_author", text.alias("_t"), F.split(text, pattern, -1).alias("_gaps"), hits.alias("_hits"), ids.alias("_ids"))
-    rows = rows.select("*", F.posexplode("_hits").alias("_i", "url")).withColumn("target_thread", typed_id(F.element_at("_ids", F.col("_i") + 1)))
+    ids = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in id_groups]
+    rows = records.where(text.rlike(pattern)).select("typed_id", "thread_id", "kind", "author", "original_author", text.alias("_t"), F.split(text, pattern, -1).alias("_gaps"), hits.alias("_hits"), F.array(*ids).alias("_ids"))
+    own = F.array_max(F.transform("_ids", lambda x: F.element_at(x, F.col("_i") + 1)))  # the groups that took no part are empty
+    rows = rows.select("*", F.posexplode("_hits").alias("_i", "url")).withColumn("target_thread", typed_id(own))
     before = F.aggregate(F.slice("_gaps", 1, F.col("_i") + 1), F.lit(0), lambda a, s: a + F.length(s)) + F.aggregate(F.slice("_hits", 1, F.col("_i")), F.lit(0), lambda a, s: a + F.length(s))
     rows = rows.withColumn("url_start", before).withColumn("url_end", F.col("url_start") + F.length("url"))
     rows = rows.withColumn("raw_start", F.greatest(F.col("url_start") - REACH, F.lit(0))).withColumn("quote", F.substring("_t", F.col("raw_start") + 1, F.col("url_end") + REACH - F.col("raw_start")))
@@ -36,6 +39,46 @@ def extract_links(records: DataFrame, field: str, pattern: str, id_group: int =
     )
 
 
+def case_links(records: DataFrame, fields: tuple[str, ...] = ("title", "selftext", "body"), pattern: str = THREAD_URL) -> DataFrame:
+    """All edges of records: those of URLs in the fields, and of crosspost_parent, which supports itself; with link_id.
+
+    records: as in extract_links, the fields and crosspost_parent."""
+    cross = records.where("crosspost_parent IS NOT NULL").select(
+        F.col("typed_id").alias("source_record_id"), F.col("thread_id").alias("source_thread"), typed_id(F.col("crosspost_parent")).alias("target_thread"), F.lit("crosspost_parent").alias("field"),
+        F.lit("attributed_crosspost").alias("relationship"), F.lit(True).alias("supported"),
+    ).where("target_thread IS NOT NULL")
+    out = cross
+    for f in fields:
+        out = out.unionByName(extract_links(records, f, pattern), allowMissingColumns=True)
+    ident = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_record_id", "target_thread", "field", "url_start", "url", "relationship")]
+    return out.withColumn("link_id", F.concat(F.lit("l_"), F.substring(F.sha2(F.concat_ws("\x1f", *ident), 256), 1, 20)))
+
+
+def preservation(records: DataFrame, case: str = "seed_key", site: str = SITE_WORD) -> DataFrame:
+    """For each post of a case the other records of the case that preserve it: (case, post_id, source_record_id, field, type, detection_status,
+    completeness, created_utc), and a row of type 'none observed' for posts without any.
+
+    A record preserves a post if it holds the post's whole trimmed text of COPY_CHARS characters or more, or if it holds a
+    preservation cue and stands in the post's thread or names the post and the site. The join is keyed by the case.
+    records: case, typed_id, thread_id, kind, author, created_utc, selftext, body. Null texts hold nothing.
+    """
+    own = F.regexp_replace(F.coalesce("selftext", F.lit("")), r"(?U)^\s+|\s+$", "")
+    posts = records.where("kind = 'submissions'").select(case, F.col("typed_id").alias("post_id"), own.alias("_own"))
+    texts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("body", "selftext")])).alias("x")
+    others = records.select(case, F.col("typed_id").alias("source_record_id"), "thread_id", "kind", "author", "created_utc", texts).where("x.text <> ''")
+    copy = (F.length("_own") >= COPY_CHARS) & F.contains(F.col("x.text"), F.col("_own"))
+    named = (F.col("thread_id") == F.col("post_id")) | (F.contains(F.col("x.text"), F.substring(F.col("post_id"), 4, 20)) & F.contains(F.col("x.text"), F.lit(site)))
+    found = posts.join(others, case).where("post_id <> source_record_id").where(copy | (F.col("x.text").rlike(PRESERVATION_CUE) & named))
+    comment = F.col("kind") == "comments"
+    kind = F.when(comment & (F.col("author") == "AutoModerator"), "subreddit automod in comments").when(comment, "another Redditor in comments").otherwise("another subreddit")
+    found = found.select(
+        case, "post_id", "source_record_id", F.col("x.field").alias("field"), kind.alias("type"), F.when(copy, "exact text match").otherwise("candidate_requires_review").alias("detection_status"),
+        F.when(copy, "full").otherwise("unknown").alias("completeness"), "created_utc",
+    )
+    none = posts.select(case, "post_id").join(found.select(case, "post_id"), [case, "post_id"], "left_anti").withColumn("type", F.lit("none observed")).withColumn("detection_status", F.lit("collected scope searched"))
+    return found.unionByName(none, allowMissingColumns=True)
+
+
 def group_seeds(hits: DataFrame, records: DataFrame) -> DataFrame:
     """(seed_key, members): a submission or a comment by the real original poster belongs to its thread, any other comment is its own case."""
     posts = records.where("kind = 'submissions'").select(F.col("typed_id").alias("_post"), F.col("author").alias("_op"))

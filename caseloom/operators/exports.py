@@ -78,3 +78,33 @@ def joined_values(rows: DataFrame, key: str, order: str, value: str) -> DataFram
     """(key, values): distinct non-null values in order of first appearance, joined by '; '. Values are combined before the shuffle."""
     first = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("o"))
     return first.groupBy(key).agg(F.concat_ws("; ", F.transform(F.sort_array(F.collect_list(F.struct("o", F.col(value).alias("v")))), lambda s: s["v"])).alias("values"))
+
+
+def posts_catalog(posts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """posts with labels, statuses and incident_ids of the annotations that name them, and the order of the first of these as place_rank, place_id.
+
+    reviews: incident_id, label, review_status, post_ids (seeds and series). Posts that none names are 'Not a keyword candidate' and come last.
+    """
+    rank = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(annotation_rank(F.col("label"), F.col("review_status")))])
+    each = reviews.select(F.explode(F.array_distinct("post_ids")).alias("typed_id"), F.struct(rank.alias("rank"), "incident_id", "label", "review_status").alias("a"))
+    per = each.groupBy("typed_id").agg(F.sort_array(F.collect_list("a")).alias("a"))  # annotations of one post
+    text = lambda f: F.array_join(F.array_distinct(F.transform("a", lambda x: x[f])), "; ")
+    named = per.select("typed_id", text("label").alias("labels"), text("review_status").alias("statuses"), text("incident_id").alias("incident_ids"), F.element_at("a", 1)["incident_id"].alias("place_id"), F.element_at("a", 1)["rank"].alias("place_rank"))
+    out = posts.join(named, "typed_id", "left")
+    return out.withColumns({"labels": F.coalesce("labels", F.lit("Not a keyword candidate")), "statuses": F.coalesce("statuses", F.lit("")), "incident_ids": F.coalesce("incident_ids", F.lit("")), "place_id": F.coalesce("place_id", "typed_id")})
+
+
+def summary_table(hits: DataFrame, checkpoints: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(measure, value) of the summary sheet. hits: typed_id, thread_id; checkpoints: stage, status, scanned; annotations: label, review_status."""
+    h = hits.agg(F.countDistinct("typed_id").alias("records"), F.countDistinct("thread_id").alias("threads"))
+    c = checkpoints.agg(F.coalesce(F.sum(F.when((F.col("stage") == "discovery") & (F.col("status") == "complete"), F.col("scanned"))), F.lit(0)).alias("scanned"))
+    pending = F.coalesce(F.startswith("review_status", F.lit("pending")), F.lit(True))
+    a = annotations.agg(
+        F.count("*").alias("cases"), F.count_if(F.col("label") == "Yes").alias("yes"), F.count_if(F.col("label") == "No").alias("no"), F.count_if((F.col("label") == "Unsure") & ~pending).alias("unsure"), F.count_if(pending).alias("pending")
+    )
+    names = {
+        "scanned": "Completed discovery checkpoint rows (scopes may overlap)", "records": "Unique keyword-matching records", "threads": "Unique keyword-hit threads", "cases": "Provisional case units",
+        "yes": "Reviewed Yes", "no": "Reviewed No", "unsure": "Reviewed Unsure", "pending": "Awaiting model review",
+    }
+    one = h.crossJoin(c).crossJoin(a)  # of one row each
+    return one.select(F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(k).cast("long").alias("value")) for k, v in names.items()])).alias("x")).select("x.*")

@@ -6,6 +6,8 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, IllegalArgumentException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +73,12 @@ class Budget:
         self.used += size
 
 
-def run_groups(groups: list, work: Callable, size: Callable, budget: Budget, passes: int = 2, transient: tuple = (OSError, MemoryError)) -> tuple[list, list, str | None]:
+#: what a later attempt may mend: lost files, memory, and any failure of a Spark job that is no mistake in the query itself
+TRANSIENT = (OSError, MemoryError, Py4JError, PySparkException)
+MISTAKES = (AnalysisException, ParseException, IllegalArgumentException)
+
+
+def run_groups(groups: list, work: Callable, size: Callable, budget: Budget, passes: int = 2, transient: tuple = TRANSIENT) -> tuple[list, list, str | None]:
     """(done, failed, why it ended early): every group once, failed ones in at most `passes` more rounds; only transient errors are retried."""
     done, todo = [], list(groups)
     for _ in range(1 + passes):
@@ -83,9 +90,35 @@ def run_groups(groups: list, work: Callable, size: Callable, budget: Budget, pas
                 done.append(g)
             except BudgetReached as e:
                 return done, failed + todo[i:], str(e)
+            except MISTAKES:
+                raise
             except transient:
                 failed.append(g)
         if not failed:
             break
         todo = failed
     return done, failed if groups else [], None
+
+
+def orphans(stored: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(path) of stored chunks that no catalog row names; both have path."""
+    return stored.select("path").distinct().join(catalog.select("path"), "path", "left_anti")
+
+
+def unfinished(checkpoints: DataFrame) -> DataFrame:
+    """(path) of files that were begun and never completed under any key: they restart from their beginning."""
+    best = checkpoints.groupBy("path").agg(F.bool_or(F.col("status") == "complete").alias("done"))
+    return best.where("NOT done").select("path")
+
+
+def integrity(records: DataFrame, hashed: str = "content_hash") -> DataFrame:
+    """(typed_id, reason) of records whose content no longer has the hash it was stored with. records: typed_id, json and the hash."""
+    now = F.sha2("json", 256)
+    reason = F.when(F.col("json").isNull(), "no_content").when(F.col(hashed).isNull(), "no_hash").when(F.col(hashed) != now, "hash_differs")
+    return records.select("typed_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(table_name, expected, actual) of tables whose row counts differ or that only one side has. Both: table_name, n."""
+    both = expected.withColumnRenamed("n", "expected").join(actual.withColumnRenamed("n", "actual"), "table_name", "full")
+    return both.where(~F.col("expected").eqNullSafe(F.col("actual"))).select("table_name", "expected", "actual")

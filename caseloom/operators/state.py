@@ -13,8 +13,8 @@ def upsert(rows: DataFrame, key: str, seq: str, keep: str) -> DataFrame:
 
 
 def resume_key(*parts: Column) -> Column:
-    """SHA-256 of a JSON array of strings; changes whenever a part does."""
-    escaped = [F.concat(F.lit('"'), F.regexp_replace(p.cast("string"), r'(["\\])', r"\\$1"), F.lit('"')) for p in parts]
+    """SHA-256 of a JSON array of strings and nulls; changes whenever a part does."""
+    escaped = [F.coalesce(F.concat(F.lit('"'), F.regexp_replace(p.cast("string"), r'(["\\])', r"\\$1"), F.lit('"')), F.lit("null")) for p in parts]
     return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *escaped), F.lit("]")), 256)
 
 

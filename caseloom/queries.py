@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as tx
 from caseloom.operators import cases, matcher, state
-from caseloom.plans import catalog
+from caseloom.plans import assembly, catalog, relations
 
 TABLES = ("documents", "conversations", "benchmark", "labels", "pages", "events", "orders", "lineitem", "customer")
 
@@ -81,7 +81,7 @@ def g1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "pages").select(
         F.concat(F.lit("t3_"), "page_id").alias("typed_id"), F.concat(F.lit("t3_"), "page_id").alias("thread_id"), F.lit("submissions").alias("kind"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("original_author"), "html"
     )
-    links = cases.extract_links(p, "html", _HREF)
+    links = cases.extract_links(p, "html", _HREF, (1,))
     return links.groupBy("source_thread", "target_thread").agg(F.count("*").alias("n"), F.sum(F.length("url")).alias("url_chars"))
 
 
@@ -136,38 +136,8 @@ SELECT user_id AS record_id, user_id % 3 AS decision_type, CASE WHEN count(*) =
 
 #: relational operators in SQL that both engines read alike
 SHARED = {
-    "p2_target_ids": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
-    "p3_case_insensitive_set": "SELECT doc_id, source FROM documents WHERE lower(source) IN ('src1', 'src2')",
-    "p4_necessary_words": "SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'license') OR contains(lower(coalesce(text, '')), 'copyright')",
-    "j1_semi_join": "SELECT typed.conv_id, typed.turn FROM conversations typed WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = typed.conv_id AND l.toxic = 1)",
-    "j2_joined_ids": "SELECT DISTINCT d.doc_id, d.lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
-    "j3_containing_post": "SELECT c.conv_id, c.turn, p.role AS post_author, CAST(length(p.text) AS BIGINT) AS post_chars FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = 0 WHERE c.turn > 0",
-    "j7_missing_posts": "SELECT d.doc_id FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id",
-    "j13_posts_with_reviews": "SELECT d.doc_id, count(l.doc_id) AS reviews, min(l.quality) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id",
-    "a1_phrase_groups": "SELECT lower(trim(text)) AS normalized, count(*) AS origins, min(item_id) AS first_item FROM benchmark GROUP BY lower(trim(text))",
-    "a2_phrase_audit": "SELECT count(*) AS original, count(DISTINCT lower(trim(text))) AS uniq, count(*) - count(DISTINCT lower(trim(text))) AS duplicates FROM benchmark",
-    "a4_records_per_kind": "SELECT role, count(*) AS n FROM conversations GROUP BY role",
     "a5_distinct_hits": "SELECT count(DISTINCT user_id) AS records, count(*) AS hits FROM events",
-    "a6_checkpoints": "SELECT o_orderstatus AS stage, o_orderpriority AS status, count(*) AS files, sum(o_custkey) AS scanned FROM orders GROUP BY o_orderstatus, o_orderpriority",
-    "a7_comments_per_thread": "SELECT conv_id, count(*) AS comments FROM conversations WHERE turn > 0 GROUP BY conv_id",
-    "a8_hit_summary": "SELECT count(*) AS hits, count(DISTINCT conv_id) AS threads, count(DISTINCT role) AS authors FROM conversations",
-    "a11_best_checkpoint": "SELECT o_custkey AS path, max(o_orderkey) AS best FROM orders o WHERE o_totalprice = (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey) GROUP BY o_custkey",
-    "a13_text_states": "SELECT CASE WHEN text IS NULL THEN 'null' WHEN text = '' THEN 'empty' WHEN text IN ('[deleted]', '[removed]') THEN 'placeholder' ELSE 'text' END AS state, count(*) AS n FROM documents GROUP BY 1",
-    "a14_source_frequency": "SELECT source, count(*) AS n FROM documents GROUP BY source",
-    "a15_inventory": "SELECT o_orderstatus AS kind, count(*) AS shards, min(o_orderdate) AS first_month, max(o_orderdate) AS last_month FROM orders GROUP BY o_orderstatus",
-    "a16_label_summary": "SELECT count(*) AS reviewed, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS yes, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS no, count(DISTINCT doc_id) AS records FROM labels",
-    "a18_totals": "SELECT lang, count(*) AS records, sum(n_chars) AS chars FROM documents GROUP BY ROLLUP (lang)",
-    "a22_deleted_comments": "SELECT conv_id, sum(CASE WHEN text IN ('[deleted]', '[removed]') THEN 1 ELSE 0 END) AS deleted FROM conversations GROUP BY conv_id",
-    "a23_all_agree": "SELECT toxic, bool_and(quality = 1) AS agree FROM labels GROUP BY toxic",
-    "w1_round_robin": "SELECT doc_id, lap FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS lap, lang, source FROM documents) x",
-    "w2_first_two": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) x WHERE rn <= 2",
-    "w4_latest": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1",
-    "w8_last_seed": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) x WHERE rn = 1",
     "o5_first_earlier_or_own": "SELECT c.conv_id, coalesce(min(CASE WHEN contains(c.text, 'that') THEN c.turn END), 0) AS original FROM conversations c GROUP BY c.conv_id",
-    "u1_only_here": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
-    "u3_union_targets": "SELECT doc_id FROM documents UNION SELECT conv_id FROM conversations",
-    "u7_overlap": "SELECT doc_id FROM labels INTERSECT SELECT conv_id FROM conversations",
-    "f3_permalinks": "SELECT conv_id, turn, CASE WHEN turn = 0 THEN concat('/comments/', conv_id, '/') ELSE concat('/comments/', conv_id, '/_/', conv_id, 'x', turn, '/') END AS permalink FROM conversations",
     "c6_shard_states": "SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN l.doc_id IS NULL THEN 'not_started' WHEN d.doc_id IS NULL THEN 'unknown_file' WHEN l.quality = 1 THEN 'complete' ELSE 'partial' END AS state FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id",
     "c3_conflicting_events": "SELECT user_id, count(DISTINCT event_type) AS contents FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1",
 }
@@ -183,7 +153,7 @@ def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _OWN = (t5_find_phrases, f5_normalize, f1_typed_ids, f8_triage_flags, f11_sheet_literal, f13_text_parts, f14_overlong, a9_prior_activity, g1_links, g2_exact_copies, g3_group_seeds, d1_upsert_last, d1_upsert_first, d5_resume_keys, c2_current_view)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | {k: _sql(v) for k, v in SHARED.items()} | catalog.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | {k: _sql(v) for k, v in SHARED.items()} | catalog.QUERIES | relations.QUERIES | assembly.QUERIES
 _DOUBT = " OR ".join(f"contains(lower(text), '{w}')" for w in ("if ", "might ", "would ", "hope ", "afraid", "worried", "in case", "don''t want", "didn''t", "did not"))
 _SHOWN = " OR ".join(f"contains(lower(text), '{w}')" for w in ("showed ", "told ", "gave "))
 ORACLE: dict[str, str] = {
@@ -202,4 +172,4 @@ ORACLE: dict[str, str] = {
     "d1_upsert_first": "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "d5_resume_keys": """SELECT o_orderkey, sha256('["rev1", "' || o_orderkey || '", "' || o_orderstatus || '", "' || o_orderpriority || '"]') AS key FROM orders""",
     "c2_current_view": _C2,
-} | {k: v.replace("LEFT ANTI JOIN", "ANTI JOIN") for k, v in SHARED.items()} | catalog.ORACLE
+} | SHARED | catalog.ORACLE | relations.ORACLE | assembly.ORACLE

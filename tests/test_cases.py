@@ -168,3 +168,63 @@ def test_whole_groups_share_a_split(spark):
     d = spark.range(3000).select((F.col("id") % 300).alias("g")).withColumn("s", review.split_of(F.col("g"), "x", {"train": 50, "test": 50}))
     by = d.groupBy("g").agg(F.countDistinct("s").alias("n"), F.first("s").alias("s")).collect()
     assert all(r["n"] == 1 for r in by) and 100 < sum(r["s"] == "train" for r in by) < 200
+
+
+def test_phrases_below_a_title_row(spark, tmp_path):
+    from caseloom.sources import workbook
+
+    (tmp_path / "a.xlsx").write_bytes(workbook.workbook_bytes({"General": (["A title"], [[None, None], ["n", "Search Phrase"], [1, "found me"], [2, ""], [3, "Search Phrase"]])}))
+    cells = workbook.read_workbooks(spark, str(tmp_path))
+    assert sorted((r["row"], r["phrase"]) for r in workbook.phrases(cells).collect()) == [(4, "found me"), (6, "Search Phrase")]
+
+
+def test_resume_keys_tell_nulls_apart(spark):
+    from caseloom.operators.state import resume_key
+
+    none = F.lit(None).cast("string")
+    keys = spark.range(1).select(*[resume_key(*p).alias(f"k{i}") for i, p in enumerate(([F.lit("a"), none, F.lit("b")], [F.lit("a"), F.lit("b")], [F.lit("a"), F.lit("b"), none], [F.lit("a"), F.lit(""), F.lit("b")], [F.lit("a"), F.lit("null"), F.lit("b")]))]).first()
+    assert len(set(keys)) == 5
+
+
+def test_failed_spark_jobs_are_tried_again(spark):
+    from caseloom.operators import recovery
+
+    tries = []
+
+    def work(g):
+        tries.append(g)
+        spark.range(1).select(F.when(F.lit(g == "b" and tries.count("b") < 2), F.raise_error(F.lit("x"))).otherwise("")).collect()
+
+    assert recovery.run_groups(["a", "b", "c"], work, lambda g: 1, recovery.Budget()) == (["a", "c", "b"], [], None)
+    with pytest.raises(Exception, match="no_such_column"):
+        recovery.run_groups(["a"], lambda g: spark.range(1).select("no_such_column"), lambda g: 1, recovery.Budget())
+
+
+def test_preservation_within_a_case(spark):
+    from caseloom.operators import cases
+
+    post = "An original post of more than a hundred characters, which is repeated by others in full. " * 2
+    rows = [("c", "t3_a1", "t3_a1", "submissions", "op", f" {post}\n", None), ("c", "t1_x", "t3_a1", "comments", "AutoModerator", None, f"> {post} <"), ("c", "t1_y", "t3_a1", "comments", "u", None, "preserved here"),
+            ("c", "t3_b2", "t3_b2", "submissions", "v", f"original post by a1 on reddit, {post[:50]}", None), ("c", "t1_z", "t3_b2", "comments", "u", None, "preserved but elsewhere"), ("d", "t3_c3", "t3_c3", "submissions", "w", None, None), ("d", "t1_w", "t3_c3", "comments", "u", None, post)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "seed_key string, typed_id string, thread_id string, kind string, author string, selftext string, body string, created_utc long")
+    got = {(r["post_id"], r["source_record_id"], r["type"], r["completeness"]) for r in cases.preservation(df).collect()}
+    assert got == {
+        ("t3_a1", "t1_x", "subreddit automod in comments", "full"), ("t3_a1", "t1_y", "another Redditor in comments", "unknown"), ("t3_a1", "t3_b2", "another subreddit", "unknown"),
+        ("t3_b2", "t1_z", "another Redditor in comments", "unknown"), ("t3_c3", None, "none observed", None),
+    }
+
+
+def test_snapshot_fails_on_counts_that_cannot_be(spark):
+    from caseloom.operators import summaries
+
+    bad = spark.createDataFrame([("submissions", "complete", 3, 5)], "kind string, status string, scanned long, candidates long")
+    with pytest.raises(Exception, match="do not add up"):
+        summaries.snapshot(bad).collect()
+    assert summaries.snapshot(bad.limit(0)).count() in (0, 1)
+
+
+def test_round_robin_takes_strata_in_turn(spark):
+    from caseloom.operators import selection
+
+    g = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), (None, 5)], "s string, id int")
+    assert [r["id"] for r in selection.round_robin(g, ["s"], "id", 4).orderBy("place").collect()] == [5, 1, 4, 2]
