@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from caseloom.functions.text import normalize_column
 from caseloom.operators.matcher import find_phrases
 from caseloom.operators.recovery import Budget, run_groups
+from caseloom.operators.summaries import hit_id
+from caseloom.operators.summaries import inventory as inventory_of
 from caseloom.sources import archive, workbook
 
 
@@ -57,11 +59,31 @@ def status(spark, a):
     spark.read.parquet(f"{a.out}/hits").groupBy("kind", "month").agg(F.count("*").alias("hits"), F.countDistinct("typed_id").alias("records")).orderBy("kind", "month").show(1000, truncate=False)
 
 
+def export(spark, a):
+    """Hits with their identities as JSON lines and as CSV for spreadsheets."""
+    hits = spark.read.parquet(f"{a.out}/hits")
+    ident = hit_id(F.col("typed_id"), F.col("query_id"), F.col("field"), F.col("start"), F.col("end"), a.revision)
+    hits = hits.withColumn("hit_id", ident).dropDuplicates(["hit_id"])
+    hits.write.mode("overwrite").json(f"{a.out}/export/hits_jsonl")
+    archive.write_csv(hits, f"{a.out}/export/hits_csv")
+
+
+def report(spark, a):
+    """Coverage as Markdown: shards, bytes, searched months, hits and records of each kind."""
+    files = _selected(spark, a)
+    hits = spark.read.parquet(f"{a.out}/hits").groupBy("kind").agg(F.count("*").alias("hits"), F.countDistinct("typed_id").alias("records"), F.countDistinct("month").alias("searched"))
+    rows = inventory_of(files).join(hits, "kind", "left").orderBy("kind").collect()  # a row for each kind
+    head = ["kind", "shards", "bytes", "first_month", "last_month", "months", "searched", "hits", "records"]
+    lines = ["# Coverage", "", f"| {' | '.join(head)} |", "|" + " --- |" * len(head), *[f"| {' | '.join('' if r[c] is None else str(r[c]) for c in head)} |" for r in rows]]
+    lines += ["", "Months without hits and months not searched are not told apart here. Candidates are not confirmed cases."]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out}/report")
+
+
 def _selected(spark, a):
     return archive.select_files(spark.read.parquet(f"{a.out}/manifest"), a.kinds, a.start, a.end)
 
 
-VERBS = {"inventory": inventory, "import-keywords": keywords, "dry-run": dry_run, "discover": discover, "status": status}
+VERBS = {"inventory": inventory, "import-keywords": keywords, "dry-run": dry_run, "discover": discover, "status": status, "export": export, "report": report}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -135,6 +135,10 @@ def test_command_line_discovers_resumes_and_stops(spark, tmp_path):
     assert main(["discover", "--out", out]) == 0 and main(["discover", "--out", out, "--seconds", "0"]) == 0
     assert sorted(r["typed_id"] for r in spark.read.parquet(f"{out}/hits").collect()) == ["t1_1", "t3_1"]
     assert spark.read.parquet(f"{out}/phrases").count() == 1
+    assert main(["export", "--out", out, "--revision", "r"]) == 0 and main(["report", "--out", out]) == 0
+    assert spark.read.json(f"{out}/export/hits_jsonl").select("hit_id").distinct().count() == 2 == spark.read.option("header", True).csv(f"{out}/export/hits_csv").count()
+    text = "\n".join(r["value"] for r in spark.read.text(f"{out}/report").collect())
+    assert "| comments | 1 |" in text and "| submissions | 1 |" in text
 
 
 def test_failed_groups_are_tried_again_within_bounds():
