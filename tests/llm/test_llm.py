@@ -2,6 +2,7 @@ import hashlib
 import io
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -98,12 +99,45 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.find_leaks(d, bench.where("item_id < 0")).count() == 0 and decontaminate.decontaminate(empty, bench).count() == 0
 
 
+def brute_leaks(texts, items, similarity=0.8):
+    """(doc, item) whose best window of the item's size reaches the similarity, by counting shingles in plain Python."""
+    fold = {c: c + 32 for c in (*range(65, 91), *range(0xC0, 0xDF)) if c != 0xD7}
+
+    def shingles(text):
+        w = re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", (text or "").translate(fold))
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+
+    bags, out = {i: Counter(shingles(t)) for i, t in items.items()}, set()
+    for d, t in texts.items():
+        h = shingles(t)
+        for i, bag in bags.items():
+            if not bag or not bag.keys() & set(h):
+                continue
+            n = min(bag.total(), len(h))
+            for a in range(len(h) - n + 1):
+                low = (Counter(h[a : a + n]) & bag).total()
+                if low >= similarity * (n + bag.total() - low) - 1e-9:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leak_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts, items = ({r[0]: r[1] for r in spark.read.parquet(f"{sf}/{n}.parquet").select(k, "text").collect()} for n, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = decontaminate.op1_benchmark_decontamination(spark, sf).collect()
+    want = brute_leaks(texts, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and want
+    assert len(got) == len(want) and all(r["start_char"] < r["end_char"] <= len(texts[r["doc_id"]]) for r in got)
+
+
 def test_hamming_blocks_miss_nothing():
     rng = np.random.default_rng(3)
     ix = decontaminate.Index([(i, " ".join(f"a{x}" for x in rng.integers(0, 500, 20))) for i in range(50)], 0.8, 24)
     for _ in range(300):
-        f = ix.print[int(rng.integers(50))] ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 30)), False))
-        assert {i for i, _ in ix.within(16, f)} == {i for i in range(50) if (f ^ ix.print[i]).bit_count() <= 24}
+        f = int(ix.print[int(rng.integers(50))]) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 30)), False))
+        assert dict(ix.within(16, f)) == {i: (f ^ p).bit_count() for i, p in enumerate(ix.print.tolist()) if (f ^ p).bit_count() <= 24}
+    assert ix.within(15, 0) == []
 
 
 def test_mixing_meets_targets(spark, odd, empty):
@@ -366,12 +400,88 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(c.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLE[name]})").fetchall(), key=repr)
 
 
-def test_pipeline(spark):
+def brute_mix(rows, targets, fraction=0.5, seed=17):
+    """doc_id of the sampled rows, raked and calibrated with plain dictionaries."""
+    cell, tokens = {}, Counter()
+    for d, text, lang, source in rows:
+        topic = next((name for name, marks in mixing.TOPICS if any(m in (text or "") for m in marks)), "prose")
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        cell[d] = (source or "", lang or "", topic)
+        tokens[cell[d]] += n
+    total = sum(tokens.values())
+    shares = []
+    for i, dim in enumerate(mixing.DIMS):
+        t = Counter()
+        for c, n in tokens.items():
+            t[c[i]] += n
+        raw = {v: targets[dim][v] for v in t} if isinstance(targets[dim], dict) else {v: n ** targets[dim] for v, n in t.items() if n}
+        shares.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    w = {c: n / total for c, n in tokens.items()}
+    for _ in range(200):
+        for i, share in enumerate(shares):
+            got = Counter()
+            for c, x in w.items():
+                got[c[i]] += x
+            w = {c: x * share.get(c[i], 0) / got[c[i]] if got[c[i]] else 0 for c, x in w.items()}
+    full, p = set(), {}
+    while True:
+        left, rest = fraction * total - sum(tokens[c] for c in full), sum(x for c, x in w.items() if c not in full)
+        p = {c: 1.0 if c in full else left * x / rest / tokens[c] if tokens[c] else 0 for c, x in w.items()}
+        more = {c for c, x in p.items() if x >= 1} - full
+        if not more:
+            break
+        full |= more
+    return {d for d, text, *_ in rows if (text or "").split() and int(hashlib.sha256(f"{d}:{seed}".encode()).hexdigest()[:12], 16) / (1 << 48) < p[cell[d]]}
+
+
+def test_mixing_query_against_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    assert {r["doc_id"] for r in mixing.op2_source_mixing(spark, SF).collect()} == brute_mix(rows, mixing.TARGETS)
+
+
+def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, d, SF).columns == d.columns, name
+    text = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    stages, held = dict(corpus_pipeline.STAGES), {}
+    for name, stage in corpus_pipeline.STAGES:
+        d, before = stage(spark, d, SF), text(d)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert d.columns == spark.read.parquet(f"{SF}/documents.parquet").columns
+        d = corpus_pipeline.materialize(d, "t")
+        held[name] = before, text(d)
+    before, after = held["quality classifier"]
+    score = {r["doc_id"]: r["score"] for r in quality.op6_quality_classifier(spark, SF).collect()}
+    assert after == {i: t for i, t in before.items() if score[i] >= 0.7}
+    before, after = held["n-gram Jaccard join"]
+    assert after == {i: before[i] for i, n, c in brute_components(sorted(before.items()), 5, 80, 100) if i == c}
+    before, after = held["benchmark decontamination"]
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    gone = {i for i, _ in brute_leaks(before, items)}
+    assert after == {i: t for i, t in before.items() if i not in gone}
+    before, after = held["secret scans"]
+    for i, t in before.items():
+        out, at = "", 0
+        for a, _, kind, b in brute_spans(t):
+            if a >= at:
+                out += f"{t[at:a]}[{kind}]"
+            at = max(at, b)
+        assert after[i] == out + t[at:]
+    assert before.keys() == after.keys()
+    before, after = held["mixing sources to target weights"]
+    info = {r["doc_id"]: (r["lang"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert after.keys() == brute_mix([(i, t, *info[i]) for i, t in before.items()], mixing.TARGETS)
     out = corpus_pipeline.run(spark, SF)
-    ids = {r["doc_id"] for r in out.select("doc_id").collect()}
-    assert ids and ids <= {r["doc_id"] for r in d.select("doc_id").collect()} and out.columns[:5] == d.columns
+    assert text(out) == after and stages.keys() == held.keys()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    """Nulls, empty and long texts, repeated rows and null ids pass through every stage; empty tables stay empty."""
+    import corpus_pipeline
+
+    full = odd.withColumn("n_chars", odd["doc_id"])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, full, SF).collect()
+        assert len(got) <= 10 and (name not in ("benchmark decontamination", "secret scans") or len(got) == 10), name
+        assert stage(spark, empty.withColumn("n_chars", empty["doc_id"]), SF).count() == 0
