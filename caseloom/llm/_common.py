@@ -8,7 +8,7 @@ from caseloom.plans.scratch import discard
 from caseloom.plans.scratch import new_folder as new_scratch
 from caseloom.plans.scratch import written as materialize
 
-__all__ = ["discard", "materialize", "new_scratch", "table", "unused"]
+__all__ = ["discard", "materialize", "new_scratch", "small_batches", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +21,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     while any((n + tail).lower() in held for n in names):
         tail += "_"
     return [n + tail for n in names]
+
+
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most from now on: rows hold whole texts, and a batch is held by the executor and by its worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)

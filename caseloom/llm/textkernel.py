@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
 _pow = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
