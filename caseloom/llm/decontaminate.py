@@ -6,15 +6,16 @@ An item of n shingles (five words each) is compared with the windows of n shingl
    can reach the similarity holds at least ceil(2t / (1 + t) * n) shingles of one item; windows below
    that bound score under t for certain and are passed over unhashed.
 2. Fingerprints of the items of that size are found by 8 blocks of 8 bits: within Hamming radius r
-   some block differs by at most r // 8 bits, so the tables of all blocks within that distance miss
+   some block differs by at most r // 8 bits, so the buckets of all block values within that distance miss
    no item within the radius.
 3. Candidates are verified by the exact weighted Jaccard similarity of the shingle multisets.
 
 Fingerprints of multisets with similarity 0.8 differ in 10 bits on average (standard deviation 3); the
 default radius of 24 stands over 4 deviations away.
 
-The benchmark is read in blocks of at most block_bytes of text; each block is one broadcast and one
-pass over the texts, so a benchmark of any size works with bounded memory.
+The benchmark is read in blocks of at most block_bytes of text; each block is one index, about ten times as large,
+broadcast for one pass over the texts and freed when that is written, so a benchmark of any size works with bounded
+memory. A benchmark of one block takes no written table.
 
 Words are runs of ASCII letters and digits and non-ASCII characters, with A-Z and the Latin-1 capitals
 lower-cased, so case and punctuation do not hide a leak. An item (or text) of fewer than five words is
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm._common import table
+from caseloom.llm._common import discard, materialize, small_batches, table
 from caseloom.llm.textkernel import ALNUM, Words, shingles, words
 
 K = 5
@@ -47,23 +48,45 @@ def simhash(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(h)).tobytes(), "big")
 
 
-def bag_similarity(a: dict[int, int], b: dict[int, int]) -> float:
-    """Weighted Jaccard: sum of minima over sum of maxima of the multiplicities."""
-    low = sum(min(c, b[x]) for x, c in a.items() if x in b)
-    return low / (sum(a.values()) + sum(b.values()) - low)
+def bag_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard of two bags (sorted values, multiplicities): sum of minima over sum of maxima."""
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    low = int(np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum())
+    return low / (int(a[1].sum()) + int(b[1].sum()) - low)
 
 
-def _bag(h: np.ndarray) -> dict[int, int]:
-    u, c = np.unique(h, return_counts=True)
-    return dict(zip(u.tolist(), c.tolist(), strict=True))
+def _bag(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(h, return_counts=True)
+
+
+class Buckets:
+    """The fingerprints of the items of one size, bucketed by the value of each of their 8 blocks of 8 bits."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray):
+        self.items, self.prints = items, prints
+        blocks = prints[:, None].view(np.uint8)
+        self.order = [np.argsort(blocks[:, b], kind="stable").astype(np.int32) for b in range(8)]
+        self.bound = [np.searchsorted(blocks[o, b], np.arange(257)) for b, o in enumerate(self.order)]
+
+    def within(self, fingerprint: int, radius: int) -> list[tuple[int, int]]:
+        """(item, distance) of all items within the radius: the buckets near each block, then exact distances."""
+        f = np.uint64(fingerprint)
+        met = np.zeros(len(self.items), bool)
+        for b, u in enumerate(np.array([f]).view(np.uint8).tolist()):
+            near = np.flatnonzero(_POP8[np.arange(256) ^ u] <= radius // 8)
+            first, n = self.bound[b][near], self.bound[b][near + 1] - self.bound[b][near]
+            met[self.order[b][np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        at = np.flatnonzero(met)
+        d = np.bitwise_count(self.prints[at] ^ f)
+        return [(int(self.items[i]), int(x)) for i, x in zip(at, d, strict=True) if x <= radius]
 
 
 class Index:
-    """Items of one block: shingle -> items, and per item size the Hamming tables."""
+    """Items of one block: shingle -> items, and the Hamming buckets of each item size."""
 
     def __init__(self, items: list[tuple[int | None, str]], similarity: float, radius: int):
-        self.t, self.radius, self.ids, self.bags, self.size, self.print = similarity, radius, [], [], [], []
-        hs = []
+        self.t, self.radius, self.ids, self.bags, self.size = similarity, radius, [], [], []
+        prints = []
         for item_id, text in items:
             for w in words(pa.array([text], pa.string()), ALNUM, fold=True):
                 h, _, _ = shingles(w, K)
@@ -71,30 +94,21 @@ class Index:
                     self.ids.append(item_id)
                     self.bags.append(_bag(h))
                     self.size.append(len(h))
-                    self.print.append(simhash(h))
-                    hs.append(np.unique(h))
-        flat = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
+                    prints.append(simhash(h))
+        self.print = np.array(prints, np.uint64)
+        flat = np.concatenate([u for u, _ in self.bags]) if prints else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(prints)), [len(u) for u, _ in self.bags])
         order = np.argsort(flat, kind="stable")
         self.keys, first, count = np.unique(flat[order], return_index=True, return_counts=True)
         self.owner, self.first, self.count = owner[order], first, count
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.blocks: dict[int, list[list[list[int]]]] = {}
-        near = [[v for v in range(256) if _POP8[u ^ v] <= radius // 8] for u in range(256)]
-        for i, n in enumerate(self.size):
-            tables = self.blocks.setdefault(n, [[[] for _ in range(256)] for _ in range(8)])
-            for b in range(8):
-                for v in near[(self.print[i] >> (8 * b)) & 255]:
-                    tables[b][v].append(i)
+        sizes = np.array(self.size, np.int64)
+        self.buckets = {int(n): Buckets(at := np.flatnonzero(sizes == n), self.print[at]) for n in np.unique(sizes)}
 
     def within(self, n: int, fingerprint: int) -> list[tuple[int, int]]:
         """(item, distance) of all items of n shingles within the radius."""
-        tables = self.blocks.get(n)
-        if tables is None:
-            return []
-        near = {i for b in range(8) for i in tables[b][(fingerprint >> (8 * b)) & 255]}
-        return [(i, d) for i in sorted(near) if (d := (fingerprint ^ self.print[i]).bit_count()) <= self.radius]
+        return self.buckets[n].within(fingerprint, self.radius) if n in self.buckets else []
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of shingles that items hold, with those items."""
@@ -151,23 +165,24 @@ class Index:
             yield d, i, s, dist, a, b
 
 
-def _blocks(benchmark: DataFrame, similarity: float, radius: int, block_bytes: int) -> Iterator:
-    """Broadcast indexes over the whole benchmark, one at a time."""
+def _blocks(benchmark: DataFrame, similarity: float, radius: int, block_bytes: int) -> Iterator[tuple]:
+    """(broadcast index, whether it is the only one), one at a time; the caller destroys it."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        rows = part.toArrow().to_pylist()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), similarity, radius))
+        rows = sorted(((r["item_id"], r["text"]) for r in part.toArrow().to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows, similarity, radius)), n == 1
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per (row of docs, item) at or over the similarity: doc_id, item_id, similarity, hamming,
     start_char, end_char (span of the best window in the text, code points, end exclusive)."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = None
-    for index in _blocks(benchmark, similarity, radius, block_bytes):
+    for index, only in _blocks(benchmark, similarity, radius, block_bytes):
 
         def run(batches, index=index):
             ix = index.value
@@ -185,14 +200,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "hamming", "start_char", "end_char"])
 
         part = src.mapInArrow(run, "doc_id long, item_id long, similarity double, hamming int, start_char int, end_char int")
+        if not only:
+            part = materialize(part, "leaks")
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 24, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs in whose text no item leaks, all columns kept; no shuffle."""
-    at, schema = docs.columns.index("text"), docs.schema
-    for index in _blocks(benchmark, similarity, radius, block_bytes):
+    small_batches(docs.sparkSession)
+    at, schema, last = docs.columns.index("text"), docs.schema, None
+    for index, only in _blocks(benchmark, similarity, radius, block_bytes):
 
         def run(batches, index=index):
             ix = index.value
@@ -204,6 +223,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)
+        if not only:
+            docs = materialize(docs, "clean")
+            index.destroy()
+            discard(last)
+            last = docs
     return docs
 
 
