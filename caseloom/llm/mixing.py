@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from caseloom.llm._common import materialize, table, unused
+from caseloom.llm._common import materialize, small_batches, table, unused
 from caseloom.llm.textkernel import words
 
 DIMS = ("source", "lang", "topic")
@@ -54,6 +54,7 @@ def topic_of(text: str = "text") -> Column:
 
 def with_tokens(docs: DataFrame) -> DataFrame:
     """docs with tokens: whitespace-separated words of text, null and empty texts 0."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("tokens")
     at = docs.columns.index("text")
 

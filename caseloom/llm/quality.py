@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm._common import table
+from caseloom.llm._common import small_batches, table
 from caseloom.llm.labels import fold_of, labelled_sample
 
 BLOCK, DICT_BYTES, DICT_SHARE = 512, 112 << 10, 0.35
@@ -94,6 +94,7 @@ def train(sample: list[tuple[str, int]], share: float) -> Model | None:
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7, per_class: int = 2000, max_bytes: int = 32 << 10) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of("doc_id", folds) == held_out).alias("held_out"), "text")
     model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, "quality", folds, held_out, per_class, max_bytes)))
 
@@ -108,6 +109,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out:
 
 def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7, per_class: int = 2000, max_bytes: int = 32 << 10) -> DataFrame:
     """The rows of docs that score at least the threshold, all columns kept; no shuffle."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, "quality", folds, held_out, per_class, max_bytes)))
     at = docs.columns.index("text")
 

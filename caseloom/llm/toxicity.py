@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm._common import table
+from caseloom.llm._common import small_batches, table
 from caseloom.llm.labels import fold_of, labelled_sample
 from caseloom.llm.quality import fit_logistic
 from caseloom.llm.textkernel import ALNUM, Words, mix64, words
@@ -108,6 +108,7 @@ def train(sample: list[tuple[str, int]], share: float) -> Model | None:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.5, per_class: int = 3000, max_bytes: int = 32 << 10) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of("doc_id", folds) == held_out).alias("held_out"), "text")
     model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, "toxic", folds, held_out, per_class, max_bytes)))
 
