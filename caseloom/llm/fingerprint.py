@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseloom.llm._common import table
+from caseloom.llm._common import materialize, table
 
 BLANK = r"[\x20\x09-\x0D]+"
-SAMPLES = 24
+SAMPLES = 64
 RANGES = 32
 
 
@@ -112,6 +112,8 @@ def _in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     first = rows.join(F.broadcast(before), "range").where(F.col("doc_id").eqNullSafe(F.col("first")))  # a row for each range, or few
     first = first.groupBy("before").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"), F.max("doc_id").alias("doc_id"))
     copies = first.select("doc_id", "x.text", F.col("before").alias("range"), F.lit(1).alias("after"))
+    # a plain table, and no null range that only one side of the join below would filter: so both sides share one exchange of the texts
+    copies = materialize(copies, "following").withColumn("range", F.coalesce("range", F.lit(-1)))
     # as many tasks as asked for: few bytes of text are much work
     return rows.withColumn("after", F.lit(0)).unionByName(copies).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range")
 
