@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import real_author, typed_id
+from caseloom.plans.scratch import unused
 
 # fixed values of the case contract
 SERIES_CUE = r"(?iu)\b(?:my (?:previous|original|earlier|last) (?:post|update)|original post|previous update|earlier update|next update|follow[- ]?up|update\s*[1-9]|part\s*[1-9]|(?:my|the) (?:first|second|third) post)\b"
@@ -96,11 +97,19 @@ def exact_copies(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def prior_activity(events: DataFrame, author: str, ts: str, kinds: dict[str, str], kind_col: str) -> DataFrame:
-    """events with strictly earlier counts per kind for the same author, and the number of kinds seen so far, this one included."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(author).orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    out = events.withColumn("_us", micros)
-    for name, value in kinds.items():
-        out = out.withColumn(name, F.count(F.when(F.col(kind_col) == value, 1)).over(w))
-    seen = F.array_union(F.collect_set(kind_col).over(w), F.array(kind_col))
-    return out.withColumn("kinds_so_far", F.size(seen).cast("long")).drop("_us")
+    """events with strictly earlier counts per kind of the same real author, and the number of kinds seen so far, this one included.
+
+    Authors that are not real are never merged: their counts are null and they are nobody's history. An event without a time has no history
+    (0) and is part of none. A null kind of an earlier event is a kind of its own; of the event itself, it makes the number null.
+    """
+    us, real, prior = unused(events, "_us", "_real", "_prior")
+    w = Window.partitionBy(author, real).orderBy(us).rangeBetween(Window.unboundedPreceding, -1)
+    timed = F.col(us).isNotNull() & F.col(real)
+    out = events.withColumns({us: F.unix_micros(F.col(ts).cast("timestamp")), real: F.coalesce(real_author(F.col(author).cast("string")), F.lit(False))})
+    held = lambda c: F.when(F.col(real), F.when(F.col(us).isNotNull(), c).otherwise(0))
+    seen = F.struct(F.collect_set(F.when(timed, F.col(kind_col))).over(w).alias("kinds"), F.max(F.when(timed, F.col(kind_col).isNull())).over(w).alias("none"))
+    out = out.withColumns({name: held(F.count(F.when(timed & (F.col(kind_col) == value), 1)).over(w)) for name, value in kinds.items()} | {prior: seen})
+    before = F.when(F.col(us).isNotNull(), F.col(f"{prior}.kinds")).otherwise(F.array().cast("array<string>"))
+    none = F.when(F.col(us).isNotNull() & F.col(f"{prior}.none"), 1).otherwise(0)
+    number = F.size(F.array_union(before, F.array(F.col(kind_col).cast("string")))) + none
+    return out.withColumn("kinds_so_far", F.when(F.col(real) & F.col(kind_col).isNotNull(), number).cast("long")).drop(us, real, prior)

@@ -64,15 +64,23 @@ def f14_overlong(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a9_prior_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return cases.prior_activity(ev, "user_id", "ts", {"prior_clicks": "click", "prior_views": "view"}, "event_type").drop("ts", "event_type")
-
-
-_W = "(PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
-_A9 = f"""
-WITH w AS (SELECT event_id, user_id, event_type, count(*) FILTER (event_type = 'click') OVER {_W} AS prior_clicks,
-  count(*) FILTER (event_type = 'view') OVER {_W} AS prior_views, list(event_type) OVER {_W} AS seen FROM events)
-SELECT event_id, user_id, prior_clicks, prior_views, CAST(len(list_distinct(list_append(coalesce(seen, []), event_type))) AS BIGINT) AS kinds_so_far FROM w
+    """Every seventh user's events come from a deleted author, every fiftieth event has no time, every ninetieth no kind."""
+    ev = _t(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("user_id") % 7 == 0, "[deleted]").otherwise(F.col("user_id").cast("string")).alias("author"), F.when(F.col("event_id") % 50 > 0, F.col("ts")).alias("ts"),
+        F.when(F.col("event_id") % 90 > 0, F.col("event_type")).alias("event_type"),
+    )
+    return cases.prior_activity(ev, "author", "ts", {"prior_clicks": "click", "prior_views": "view"}, "event_type").drop("ts", "event_type")
+
+
+_A9 = """
+WITH e AS (SELECT event_id, CASE WHEN user_id % 7 = 0 THEN '[deleted]' ELSE user_id::VARCHAR END AS author, CASE WHEN event_id % 50 > 0 THEN ts END AS t, CASE WHEN event_id % 90 > 0 THEN event_type END AS kind FROM events),
+j AS (
+  SELECT a.event_id, a.author, a.kind, count(*) FILTER (b.kind = 'click') AS clicks, count(*) FILTER (b.kind = 'view') AS views,
+    count(DISTINCT b.kind) + max(CASE WHEN b.event_id IS NOT NULL AND b.kind IS NULL THEN 1 ELSE 0 END) AS kinds, coalesce(bool_or(b.kind = a.kind), false) AS again
+  FROM e a LEFT JOIN e b ON b.author = a.author AND a.author <> '[deleted]' AND b.t < a.t GROUP BY ALL
+)
+SELECT event_id, author, CASE WHEN author <> '[deleted]' THEN clicks END AS prior_clicks, CASE WHEN author <> '[deleted]' THEN views END AS prior_views,
+  CASE WHEN author <> '[deleted]' AND kind IS NOT NULL THEN CAST(kinds + CASE WHEN again THEN 0 ELSE 1 END AS BIGINT) END AS kinds_so_far FROM j
 """
 _HREF = r'href="/([A-Za-z0-9]+)"'
 
