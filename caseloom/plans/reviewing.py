@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.operators import contracts, conversion
+from caseloom.operators import annotations, contracts, conversion, review_table
 from caseloom.plans.catalog import _t
 from caseloom.plans.scratch import written
 
@@ -111,5 +111,60 @@ SELECT incident_id, CASE k % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Unsure'
   CAST(CASE WHEN lost THEN 17 ELSE 16 END AS BIGINT) AS reasons, CAST(0 AS BIGINT) AS faults, CAST(0 AS BIGINT) AS dangling FROM c"""
 
 
-QUERIES = {f.__name__: f for f in (v15_decision_faults, v8_conversion_problems, v8_converted)}
-ORACLE = {"v15_decision_faults": _V15, "v8_conversion_problems": _V8P, "v8_converted": _V8C}
+def _e1(spark, sf_dir):
+    """The converted annotations, each with a second seed that every third document lacks, as a table of all columns."""
+    ready, docs = _ready(spark, sf_dir)
+    k = F.col("doc_id")
+    records = docs.where(k % 10 != 5).select(
+        F.concat(F.lit("t3_"), k).alias("typed_id"), k.cast("string").alias("id"), F.lit(None).cast("string").alias("canonical_permalink"), F.concat(F.lit("T "), k).alias("title"), F.col("source").alias("subreddit"), F.array(F.lit("flag")).alias("triage_flags"), (k % 7).alias("num_comments"),
+        F.concat(F.lit("u/"), k).alias("url"), F.col("source").alias("author"), (k % 9).alias("score"), F.lit(None).cast("double").alias("upvote_ratio"), F.lit(None).cast("string").alias("link_flair_text"), F.lit(None).cast("boolean").alias("is_self"), (k % 2 == 0).alias("over_18"),
+    )
+    a = conversion.converted(ready, "review")
+    a = written(a.withColumn("seed_record_ids", F.array_append("seed_record_ids", F.concat(F.lit("t3_"), F.substring("incident_id", 3, 20).cast("long") + 1))), "annotations")
+    edits = docs.where(k % 8 == 1).select(F.concat(F.lit("i_"), k).alias("incident_id"), F.lit("No").alias("label"), F.lit("seen").alias("notes"))
+    return a, review_table.review_table(a, records, edits)
+
+
+HEADERS = [h for h, _ in review_table.COLUMNS]
+
+
+def e1_review_table(spark, sf_dir):
+    """Every cell of the review table but the whole annotation's."""
+    return review_table.unpivoted(_e1(spark, sf_dir)[1], [h for h in HEADERS if h != "Full annotation JSON"]).withColumn("value", F.when(F.length("value") > 64, F.sha2("value", 256)).otherwise(F.col("value")))
+
+
+def e2_incidents(spark, sf_dir):
+    a, table = _e1(spark, sf_dir)
+    return review_table.incident_table(table, a).select("incident_id", "seed_record_id", "title", "Reviewer label", "All seed record IDs")
+
+
+_N = "NULL"
+_CELLS = [
+    "r.id", _N, "r.title", _N, _N, _N, _N, _N, "'Unclear'", "'Unknown'", _N, _N, _N, "p.comments", _N, "'Unknown'", "intent", "p.url", "post", "CASE WHEN NOT lost THEN strftime(to_timestamp(k) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') END",
+    "CASE WHEN NOT lost THEN c.source END", _N, "CASE WHEN lost THEN '' ELSE substr(text, 1, 14000) END", "CASE WHEN NOT lost AND length(text) > 14000 THEN substr(text, 14001, 14000) END", "CASE WHEN e THEN quote ELSE '' END", "'OP/author'", _N,
+    "CASE WHEN k % 7 = 0 THEN 'Browsing Reddit: phone, web; Other: phone, web' ELSE '' END", "'Unclear'", _N, "'Unclear; supported total: unknown; pre-discovery: unknown'", "CASE WHEN k % 4 = 0 THEN 'Break-up' ELSE 'Unclear' END",
+    "CASE WHEN k % 6 = 0 THEN 'another subreddit: u' ELSE 'unknown' END", "p.source", "p.score", _N, "p.comments", "CASE WHEN NOT lost THEN k::VARCHAR END", _N, _N, "p.over", "CASE WHEN lost THEN '' ELSE text END",
+    "label", f"'{conversion.REVIEWED}'", "incident_id", "CASE WHEN lost THEN 'unresolved' ELSE 'provisional seed thread' END", """CASE WHEN e THEN '["Unclear"]' ELSE '[]' END""", "'Unclear'", _N, """'["unclear"]'""", """CASE WHEN e THEN '["e1"]' ELSE '[]' END""", _N, _N, "missing",
+    "'{\"retrieved_comments\":' || k % 4 || ',\"comments_missing_reason\":null}'", "'{\"classification_performed\":true,\"all_retrieved_text_reviewed\":true,\"record_ids\":[\"t3_' || k || '\"],\"all_thread_comments_available\":false,\"scope\":\"" + conversion.SCOPE + "\",\"independent_verification\":false}'",
+    """'["unclear"]'""", _N, "'cases/' || incident_id || '.json'", "'annotations/' || incident_id || '.json'", """CASE WHEN r.id IS NOT NULL THEN '["flag"]' END""", "CASE WHEN label = 'Yes' THEN 'Reported event' ELSE 'Reviewed ' || label END",
+    "CASE WHEN k % 8 = 1 THEN 'No' END", "CASE WHEN k % 8 = 1 THEN 'seen' END",
+    "'read'", f"CASE WHEN intent = 'Unclear' THEN '{review_table.INTENT_DEFINITIONS['Unclear']}' ELSE '{review_table.INTENT_DEFINITIONS['Social networking']}' END", "r.source", f"'{conversion.STATUS_BASIS}'", "CASE WHEN lost THEN 'missing' WHEN text = '' THEN 'empty' ELSE 'text' END",
+    "CASE WHEN e THEN c.source ELSE '' END", "CASE WHEN e THEN strftime(to_timestamp(k) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') ELSE '' END", "CASE WHEN e THEN 'selftext' ELSE '' END", "CASE WHEN e THEN 'OP' ELSE '' END", "'Unclear'", _N, _N, "'1'",
+    "CASE WHEN k % 4 = 0 THEN 'Break-up' ELSE '' END", "CASE WHEN k % 6 = 0 THEN 'another subreddit' ELSE 'unknown' END", "CASE WHEN k % 6 = 0 THEN 'u' ELSE '' END", "(k % 4)::VARCHAR", "'false'", _N, "'review'",
+]
+_REASONS = {**annotations.PENDING_REASONS, **{x: conversion.UNSUPPORTED for x in ("classification", "actors", "discovery", "outcomes", "post_intent")}, "comments": conversion.NO_COMMENTS}
+_MISSING = "{" + ",".join(f'"{x}":"{y}"' for x, y in _REASONS.items())
+_E1 = f"""WITH {_D}, c AS (
+  SELECT *, k % 17 = 0 AS lost, CASE k % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Unsure' END AS label, CASE WHEN k % 2 = 0 THEN 'Unclear' ELSE 'Social networking' END AS intent, CASE WHEN k % 17 > 0 THEN 't3_' || k END AS post,
+    '{_MISSING}' || CASE WHEN k % 17 = 0 THEN ',"original_post":"{conversion.LOST_ORIGINAL}"' ELSE '' END || '}}' AS missing FROM x WHERE len(problems) = 0
+), r AS (SELECT doc_id, doc_id::VARCHAR AS id, 'T ' || doc_id AS title, source, (doc_id % 7)::VARCHAR AS comments, 'u/' || doc_id AS url, (doc_id % 9)::VARCHAR AS score, CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END AS over FROM documents WHERE doc_id % 10 <> 5),
+t AS (
+  SELECT c.incident_id, 't3_' || (k + s.place) AS seed_record_id, s.place, unnest([{", ".join(f"{{'h': '{h.replace(chr(39), chr(39) * 2)}', 'v': ({v})::VARCHAR}}" for h, v in zip([h for h in HEADERS if h != "Full annotation JSON"], _CELLS, strict=True))}]) AS cell
+  FROM c, (VALUES (0), (1)) s(place) LEFT JOIN r ON r.doc_id = k + s.place LEFT JOIN r p ON NOT lost AND p.doc_id = k
+)
+SELECT incident_id, seed_record_id, place, cell.h AS header, CASE WHEN length(cell.v) > 64 THEN sha256(cell.v) ELSE cell.v END AS value FROM t"""
+_E2 = f"""WITH {_D} SELECT incident_id, 't3_' || (k + 1) AS seed_record_id, CASE WHEN EXISTS (SELECT 1 FROM documents r WHERE r.doc_id = k + 1 AND r.doc_id % 10 <> 5) THEN 'T ' || (k + 1) END AS title,
+  CASE WHEN k % 8 = 1 THEN 'No' END AS "Reviewer label", 't3_' || k || '; t3_' || (k + 1) AS "All seed record IDs" FROM x WHERE len(problems) = 0"""
+
+QUERIES = {f.__name__: f for f in (v15_decision_faults, v8_conversion_problems, v8_converted, e1_review_table, e2_incidents)}
+ORACLE = {"v15_decision_faults": _V15, "v8_conversion_problems": _V8P, "v8_converted": _V8C, "e1_review_table": _E1, "e2_incidents": _E2}
