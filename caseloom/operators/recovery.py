@@ -32,6 +32,48 @@ def scan_plan(shards: DataFrame, done: DataFrame) -> DataFrame:
     return j.withColumn("action", action).withColumn("reason", reason).drop("_complete")
 
 
+# fixed values of the coverage contract
+STATES = ("complete", "partial", "failed", "missing", "changed", "duplicated", "source_unavailable", "unverifiable")
+MODES = ("incremental", "full", "local_reuse")
+
+
+def shard_states(inventory: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """path, original_status (of the best checkpoint, null without), current_status (one of STATES), same_as (the path that a duplicate repeats).
+
+    inventory: path, content_identity (null where the source gives none); checkpoints: path, status (complete, partial, failed), scanned, content_identity. Being listed is no success: a shard without
+    checkpoint is missing; a checkpoint whose shard is no longer listed is source_unavailable; content seen under a smaller path is duplicated; a checkpoint without identities to compare is unverifiable, with another
+    one changed. The best checkpoint is a complete one before a partial before a failed one, then the one that scanned most.
+    """
+    rank = F.when(F.col("status") == "complete", 2).when(F.col("status") == "partial", 1).otherwise(0)
+    best = checkpoints.groupBy("path").agg(F.max(F.struct(rank.alias("rank"), "scanned", "status", F.col("content_identity").alias("was"))).alias("c")).select("path", F.col("c.status").alias("original_status"), "c.was")
+    first = inventory.where("content_identity IS NOT NULL").groupBy("content_identity").agg(F.min("path").alias("same_as"))
+    rows = inventory.join(first, "content_identity", "left").withColumn("listed", F.lit(True)).join(best, "path", "full")
+    twin = F.coalesce(F.col("same_as") != F.col("path"), F.lit(False))
+    state = (
+        F.when(F.col("listed").isNull(), "source_unavailable").when(twin, "duplicated").when(F.col("original_status").isNull(), "missing")
+        .when(F.col("content_identity").isNull() | F.col("was").isNull(), "unverifiable").when(F.col("content_identity") != F.col("was"), "changed").otherwise(F.col("original_status"))
+    )
+    return rows.select("path", "original_status", state.alias("current_status"), F.when(twin, F.col("same_as")).alias("same_as"))
+
+
+def mode_plan(states: DataFrame, mode: str) -> DataFrame:
+    """states with action and reason. full scans all that can be read; incremental skips what is complete or repeats another shard and scans the rest; local_reuse reads nothing: it reuses what is complete and defers the rest.
+
+    Nothing is skipped without a compatible checkpoint: changed and unverifiable shards are scanned again."""
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {MODES}")
+    s = F.col("current_status")
+    if mode == "full":
+        action = F.when(s == "source_unavailable", "none").otherwise("scan")
+        reason = F.when(s == "source_unavailable", s).otherwise("full_scan_requested")
+    else:
+        rest = "scan" if mode == "incremental" else "defer"
+        done = "skip" if mode == "incremental" else "reuse"
+        action = F.when(s == "source_unavailable", "none").when(s == "complete", done).when(s == "duplicated", "skip").otherwise(rest)
+        reason = F.when(s == "complete", "complete_and_compatible").when(s == "duplicated", F.concat(F.lit("same_content_as:"), "same_as")).when(s == "partial", "partial_restarts").when(s == "missing", "no_checkpoint").otherwise(s)
+    return states.withColumns({"action": action, "reason": reason})
+
+
 def estimate(shards: DataFrame) -> DataFrame:
     """Per kind: rows, seconds, rows a second, and the whole inventory's seconds scaled by bytes, with half and double as bounds.
 

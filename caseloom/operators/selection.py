@@ -137,3 +137,8 @@ def calibration_first(ids: list[str], key: str) -> list[Column]:
 def last_errors(errors: Column, n: int = 100) -> Column:
     """The last n of an array."""
     return F.slice(errors, F.greatest(F.size(errors) - n + 1, F.lit(1)), F.lit(n))
+
+
+def first_or_own(rows: DataFrame, key: str, wanted: Column, order: Column, own: Column) -> DataFrame:
+    """(key, original): of each key's rows the smallest `order` among the wanted, else the smallest `own`. Combines before the shuffle."""
+    return rows.groupBy(key).agg(F.coalesce(F.min(F.when(wanted, order)), F.min(own)).alias("original"))

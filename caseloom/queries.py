@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as tx
 from caseloom.operators import cases, matcher, state
-from caseloom.plans import assembly, bundling, catalog, relations, reviewing
-
-TABLES = ("documents", "conversations", "benchmark", "labels", "pages", "events", "orders", "lineitem", "customer")
+from caseloom.plans import assembly, bundling, catalog, ledger, relations, reviewing
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,26 +140,8 @@ SELECT user_id AS record_id, user_id % 3 AS decision_type, CASE WHEN count(*) =
   CASE WHEN count(*) = 1 THEN 'decided' ELSE 'pending' END AS state FROM h GROUP BY user_id
 """
 
-#: relational operators in SQL that both engines read alike
-SHARED = {
-    "a5_distinct_hits": "SELECT count(DISTINCT user_id) AS records, count(*) AS hits FROM events",
-    "o5_first_earlier_or_own": "SELECT c.conv_id, coalesce(min(CASE WHEN contains(c.text, 'that') THEN c.turn END), 0) AS original FROM conversations c GROUP BY c.conv_id",
-    "c6_shard_states": "SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN l.doc_id IS NULL THEN 'not_started' WHEN d.doc_id IS NULL THEN 'unknown_file' WHEN l.quality = 1 THEN 'complete' ELSE 'partial' END AS state FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id",
-    "c3_conflicting_events": "SELECT user_id, count(DISTINCT event_type) AS contents FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1",
-}
-
-
-def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            _t(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text)
-
-    return run
-
-
 _OWN = (t5_find_phrases, f5_normalize, f1_typed_ids, f8_triage_flags, f11_sheet_literal, f13_text_parts, f14_overlong, a9_prior_activity, g1_links, g2_exact_copies, g3_group_seeds, d1_upsert_last, d1_upsert_first, d5_resume_keys, c2_current_view)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | {k: _sql(v) for k, v in SHARED.items()} | catalog.QUERIES | relations.QUERIES | assembly.QUERIES | bundling.QUERIES | reviewing.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | catalog.QUERIES | relations.QUERIES | assembly.QUERIES | bundling.QUERIES | reviewing.QUERIES | ledger.QUERIES
 _DOUBT = " OR ".join(f"contains(lower(text), '{w}')" for w in ("if ", "might ", "would ", "hope ", "afraid", "worried", "in case", "don''t want", "didn''t", "did not"))
 _SHOWN = " OR ".join(f"contains(lower(text), '{w}')" for w in ("showed ", "told ", "gave "))
 ORACLE: dict[str, str] = {
@@ -180,4 +160,4 @@ ORACLE: dict[str, str] = {
     "d1_upsert_first": "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "d5_resume_keys": """SELECT o_orderkey, sha256('["rev1", "' || o_orderkey || '", "' || o_orderstatus || '", "' || o_orderpriority || '"]') AS key FROM orders""",
     "c2_current_view": _C2,
-} | SHARED | catalog.ORACLE | relations.ORACLE | assembly.ORACLE | bundling.ORACLE | reviewing.ORACLE
+} | catalog.ORACLE | relations.ORACLE | assembly.ORACLE | bundling.ORACLE | reviewing.ORACLE | ledger.ORACLE
