@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,21 +21,38 @@ SITE_WORD = "reddit"
 COPY_CHARS, REACH = 100, 180
 
 
+def _urls(pattern: str, groups: tuple[int, ...]):
+    """url, its span in code points, the id in it and its surroundings, for each match; one pass over a text."""
+    find = re.compile(pattern, re.ASCII)  # classes and case as in Java's patterns without flags
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], [[] for _ in range(5)]
+            for r, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for m in find.finditer(text):
+                    at.append(r)
+                    for out, v in zip(found, (m[0], *m.span(), max(m[g] or "" for g in groups), text[max(0, m.start() - REACH) : m.end() + REACH]), strict=True):
+                        out.append(v)
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:-1]), *(pa.array(v, k) for v, k in zip(found, kinds, strict=True))], names=[*LINK_KEYS, "url", "url_start", "url_end", "named", "quote"])
+
+    return run
+
+
+LINK_KEYS = ("typed_id", "thread_id", "kind", "author", "original_author")
+
+
 def extract_links(records: DataFrame, field: str, pattern: str = THREAD_URL, id_groups: tuple[int, ...] = (1, 2)) -> DataFrame:
     """One row per URL of a field: source and target thread, url, its code-point span, quote, relationship, supported.
 
-    records: typed_id, thread_id, kind, author, original_author and the field. Positions come from the
-    lengths of the pieces around the URLs, so they count code points.
+    records: typed_id, thread_id, kind, author, original_author and the field. Only texts that a JVM pattern finds URLs in reach Python, which goes over each once and
+    returns spans and quotes: what a row carries does not grow with the text.
     """
     text = F.coalesce(F.col(field), F.lit(""))
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ids = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in id_groups]
-    rows = records.where(text.rlike(pattern)).select("typed_id", "thread_id", "kind", "author", "original_author", text.alias("_t"), F.split(text, pattern, -1).alias("_gaps"), hits.alias("_hits"), F.array(*ids).alias("_ids"))
-    own = F.array_max(F.transform("_ids", lambda x: F.element_at(x, F.col("_i") + 1)))  # the groups that took no part are empty
-    rows = rows.select("*", F.posexplode("_hits").alias("_i", "url")).withColumn("target_thread", typed_id(own))
-    before = F.aggregate(F.slice("_gaps", 1, F.col("_i") + 1), F.lit(0), lambda a, s: a + F.length(s)) + F.aggregate(F.slice("_hits", 1, F.col("_i")), F.lit(0), lambda a, s: a + F.length(s))
-    rows = rows.withColumn("url_start", before).withColumn("url_end", F.col("url_start") + F.length("url"))
-    rows = rows.withColumn("raw_start", F.greatest(F.col("url_start") - REACH, F.lit(0))).withColumn("quote", F.substring("_t", F.col("raw_start") + 1, F.col("url_end") + REACH - F.col("raw_start")))
+    schema = ", ".join(f"{k} string" for k in LINK_KEYS) + ", url string, url_start int, url_end int, named string, quote string"
+    rows = records.where(text.rlike(pattern)).select(*[F.col(k).cast("string").alias(k) for k in LINK_KEYS], text.alias("text")).mapInArrow(_urls(pattern, id_groups), schema)
+    rows = rows.withColumn("target_thread", typed_id(F.col("named")))
     op = real_author(F.col("original_author")) & F.coalesce(F.col("author") == F.col("original_author"), F.lit(False))
     supported = ((F.col("kind") == "submissions") | op) & F.col("quote").rlike(SERIES_CUE)
     relation = F.when(supported & F.col("quote").rlike(EARLIER_CUE), "points_to_earlier_post").when(supported, "explicit_series_reference").otherwise("unverified_related_candidate")
