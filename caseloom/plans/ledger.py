@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import tables
 from caseloom.functions import text as tx
-from caseloom.operators import recovery, review, selection, summaries
+from caseloom.operators import recovery, review, segment_review, selection, summaries
 from caseloom.plans.catalog import _t
 from caseloom.plans.relations import _T6
 
@@ -74,3 +74,19 @@ ORACLE = {
 FROM z, (VALUES ('incremental'), ('full'), ('local_reuse')) m(mode)""",
     "x2_find_phrases": f"SELECT doc_id, query_id, raw_start, raw_end, quote FROM ({_T6})",
 }
+
+
+def v16_segment_review(spark, sf_dir):
+    """Documents reviewed segment by segment by the synthetic rule."""
+    segs = segment_review.case_segments(_t(spark, sf_dir, "documents"), "doc_id", "text", 1000)
+    return segment_review.review(segs, segment_review.RuleAnnotator(("http", "password", "the "))).drop("method", "failed")
+
+
+QUERIES["v16_segment_review"] = v16_segment_review
+# the first cue that a segment shows whole; segments start every 840 characters and overlap by 160, so each cue lies whole in some
+ORACLE["v16_segment_review"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, i, substr(t, i * 840 + 1, 1000) AS t FROM (SELECT doc_id, t, unnest(range(0, (greatest(length(t), 1) - 1) // 840 + 1)) AS i FROM d)),
+f AS (SELECT doc_id, i, [x for x in [{'a': instr(t, 'http'), 'q': 'http'}, {'a': instr(t, 'password'), 'q': 'password'}, {'a': instr(t, 'the '), 'q': 'the '}] if x.a > 0] AS hits FROM s),
+g AS (SELECT doc_id, count(*) AS reviewed, min(i) FILTER (len(hits) > 0) AS i FROM f GROUP BY doc_id)
+SELECT g.doc_id::VARCHAR AS case_id, CASE WHEN g.i IS NULL THEN 'Unsure' ELSE 'Yes' END AS label, list_sort(f.hits)[1].q AS quote, g.i * 840 + list_sort(f.hits)[1].a - 1 AS raw_start, reviewed FROM g LEFT JOIN f ON f.doc_id = g.doc_id AND f.i = g.i
+"""
