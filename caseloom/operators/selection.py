@@ -5,7 +5,7 @@ Nulls never match a key. Ties are broken by the id, so every result is the same
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators.matcher import any_of
@@ -142,3 +142,56 @@ def last_errors(errors: Column, n: int = 100) -> Column:
 def first_or_own(rows: DataFrame, key: str, wanted: Column, order: Column, own: Column) -> DataFrame:
     """(key, original): of each key's rows the smallest `order` among the wanted, else the smallest `own`. Combines before the shuffle."""
     return rows.groupBy(key).agg(F.coalesce(F.min(F.when(wanted, order)), F.min(own)).alias("original"))
+
+
+#: what a classifier is shown of a record; fixed values of the review contract
+CASE_FIELDS = ("typed_id", "thread_id", "parent_id", "kind", "author", "subreddit", "created_utc", "title", "selftext", "body", "canonical_permalink")
+
+
+def input_records(records: DataFrame) -> DataFrame:
+    """records with CASE_FIELDS only, as JSON objects: (typed_id, thread_id, record). Absent fields are null, and say so."""
+    fields = [(F.col(c) if c in records.columns else F.lit(None).cast("string")).alias(c) for c in CASE_FIELDS]
+    return records.select("typed_id", "thread_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def first_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The physically first n rows of each file under path, with _file and _row (from 0): the same rows in every run."""
+    rows = spark.read.parquet(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).where(F.col("_row") < n)
+
+
+def merged(a: Column, b: Column) -> Column:
+    """One map of both; b's values win, keys of a come first. A null map counts as empty."""
+    kind = "map<string,string>"
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    a, b = F.coalesce(a.cast(kind), none), F.coalesce(b.cast(kind), none)
+    return F.map_concat(F.transform_values(a, lambda k, v: F.when(F.map_contains_key(b, k), F.element_at(b, k)).otherwise(v)), F.map_filter(b, lambda k, v: ~F.map_contains_key(a, k)))
+
+
+def clamp(value: Column, low: float, high: float) -> Column:
+    """value within its bounds; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+
+
+def file_name(title: Column) -> Column:
+    """The file name of a sheet's title: lower case, blanks as underscores."""
+    return F.regexp_replace(F.lower(title), " ", "_")
+
+
+def memberships(run_id: str, stage: str, reason: Column, records: DataFrame) -> DataFrame:
+    """membership_id, run_id, record_id, post_id, stage, reason: one for each record of a run's stage. post_id is null for a record whose submission is not here; none is made up.
+
+    records: typed_id, thread_id, kind."""
+    rows = records.select(F.lit(run_id).alias("run_id"), F.col("typed_id").alias("record_id"), F.col("thread_id").alias("post"), F.lit(stage).alias("stage"), reason.alias("reason")).dropDuplicates(["record_id"])
+    posts = records.where("kind = 'submissions'").select(F.col("typed_id").alias("post"), F.col("typed_id").alias("post_id")).distinct()
+    ident = F.concat(F.lit("m_"), F.substring(F.sha2(F.concat_ws("\x1f", "run_id", "record_id", "stage"), 256), 1, 20))
+    return rows.join(posts, "post", "left").select(ident.alias("membership_id"), "run_id", "record_id", "post_id", "stage", "reason")
+
+
+def classifications(decisions: DataFrame) -> DataFrame:
+    """record_id, label (Yes, No or Uncertain; null where the execution did not complete), execution_status, error, score, score_kind (none without a score).
+
+    decisions: record_id, label (Unsure for undecided), status (completed, failed, not_run), error, score. Missing context never makes a label."""
+    done = F.coalesce(F.col("status") == "completed", F.lit(False))
+    label = F.when(done, F.when(F.col("label").isin("Yes", "No"), F.col("label")).otherwise("Uncertain"))
+    return decisions.select("record_id", label.alias("label"), F.coalesce("status", F.lit("not_run")).alias("execution_status"), F.when(~done, F.col("error")).alias("error"), F.when(done, F.col("score")).alias("score"), F.when(done & F.col("score").isNotNull(), "uncalibrated").otherwise("none").alias("score_kind"))

@@ -128,3 +128,28 @@ def counted(files: DataFrame) -> DataFrame:
     """files with searched and whole: a complete unfiltered file counts by its footer, any other by the rows it returned, a lower bound."""
     whole = F.coalesce((F.col("status") == "complete") & ~F.col("filtered"), F.lit(False))
     return files.withColumn("searched", F.when(whole, F.col("footer_rows")).otherwise(F.coalesce("returned_rows", F.lit(0)))).withColumn("whole", whole)
+
+
+def phrases_per_sheet(phrases: DataFrame) -> DataFrame:
+    """(sheet, nonempty_phrases, own): phrases of each sheet that are not empty, and those that no other sheet has."""
+    some = phrases.where("normalized <> ''")
+    sheets = some.groupBy("normalized").agg(F.countDistinct("sheet").alias("sheets"))
+    each = some.join(sheets, "normalized").groupBy("sheet")
+    return each.agg(F.count("*").alias("nonempty_phrases"), F.countDistinct(F.when(F.col("sheets") == 1, F.col("normalized"))).alias("own"))
+
+
+def bytes_by_source(rows: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """(path, payload_bytes): UTF-8 bytes of the text columns read from each source; null texts have none."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
+    return rows.groupBy(F.col(path).alias("path")).agg(F.sum(size.cast("long")).alias("payload_bytes"))
+
+
+def hits_of_records(hits: DataFrame) -> DataFrame:
+    """(typed_id, hit_ids) sorted: the hits of one record, which its text bounds."""
+    return hits.groupBy("typed_id").agg(F.sort_array(F.collect_set("hit_id")).alias("hit_ids"))
+
+
+def retrieval_of(targets: DataFrame, records: DataFrame) -> DataFrame:
+    """(thread_id, found, comments) of each target: whether its submission was retrieved and how many of its comments; a target without either has false and 0."""
+    own = records.groupBy("thread_id").agg(F.bool_or((F.col("kind") == "submissions") & (F.col("typed_id") == F.col("thread_id"))).alias("found"), F.count_if(F.col("kind") == "comments").alias("comments"))
+    return targets.select("thread_id").distinct().join(own, "thread_id", "left").select("thread_id", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("comments", F.lit(0)).alias("comments"))
