@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import text_parts, utf16_units
-from caseloom.plans.scratch import written
+from caseloom.plans.scratch import unused, written
 
 # fixed values of the export contract
 CELL_UNITS, PART_CHARS = 30000, 14000
@@ -19,15 +19,16 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "row_number")
     number for each shuffle partition reaches the driver).
     """
     spark = df.sparkSession
+    at, nth, before_ = unused(df, "_range", "_rn", "_before")
     placed = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     # the low 33 bits count the rows of a partition
-    placed = written(placed.withColumns({"_range": F.spark_partition_id(), "_rn": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1}), "numbered")
+    placed = written(placed.withColumns({at: F.spark_partition_id(), nth: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1}), "numbered")
     total, before = 0, []
-    for r in placed.groupBy("_range").count().orderBy("_range").collect():
-        before.append((r["_range"], total))
+    for r in placed.groupBy(at).count().orderBy(at).collect():
+        before.append((r[at], total))
         total += r["count"]
-    offsets = spark.createDataFrame(before, "_range int, _before long")
-    return placed.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_rn")).drop("_range", "_before", "_rn")
+    offsets = spark.createDataFrame(before, f"{at} int, {before_} long")
+    return placed.join(F.broadcast(offsets), at).withColumn(name, F.col(before_) + F.col(nth)).drop(at, before_, nth)
 
 
 def workbook_parts(rows: DataFrame, max_rows: int, row_number: str = "row_number") -> DataFrame:

@@ -46,7 +46,7 @@ def f53_merged_maps(spark, sf_dir):
 
 
 def f43_clamped(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select("c_custkey", selection.clamp(F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")), 1.0, 900.0).alias("limit"), selection.file_name(F.concat("c_mktsegment", F.lit(" Part 1"))).alias("file_name"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", selection.clamp(F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")), 1.0, 900.0).alias("bounded"), selection.file_name(F.concat("c_mktsegment", F.lit(" Part 1"))).alias("file_name"))
 
 
 def c4_memberships(spark, sf_dir):
@@ -105,7 +105,7 @@ SELECT t.thread_id, EXISTS (SELECT 1 FROM k WHERE k.post AND k.typed_id = t.thre
   'selftext', CASE WHEN post THEN text END, 'body', CASE WHEN NOT post THEN text END, 'canonical_permalink', NULL)::VARCHAR) AS record_sha256, CAST(11 AS BIGINT) AS fields FROM r""",
     "s4_first_rows": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents LIMIT 5",
     "f53_merged_maps": """SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN '{"lang":"' || lang || '","n":"' || source || '","z":"1"}' ELSE '{"n":"' || source || '","z":"1"}' END AS merged FROM documents""",
-    "f43_clamped": """SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN greatest(1.0, least(900.0, c_acctbal)) END AS "limit", replace(lower(c_mktsegment), ' ', '_') || '_part_1' AS file_name FROM customer""",
+    "f43_clamped": """SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN greatest(1.0, least(900.0, c_acctbal)) END AS bounded, replace(lower(c_mktsegment), ' ', '_') || '_part_1' AS file_name FROM customer""",
     "c4_memberships": f"""WITH {_REC}, k AS (SELECT * FROM r WHERE NOT (post AND thread_id LIKE '%7')) SELECT 'm_' || substr(sha256('run1' || chr(31) || typed_id || chr(31) || 'discovery'), 1, 20) AS membership_id, 'run1' AS run_id, typed_id AS record_id,
   CASE WHEN thread_id IN (SELECT typed_id FROM k WHERE post) THEN thread_id END AS post_id, 'discovery' AS stage, CASE WHEN post THEN 'keyword in post' ELSE 'keyword in comment' END AS reason FROM k""",
     "c10_classifications": """WITH d AS (SELECT doc_id AS record_id, CASE WHEN quality = 1 THEN 'Yes' WHEN doc_id % 2 = 0 THEN 'No' ELSE 'Uncertain' END AS label, CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 7 > 0 THEN 'completed' ELSE 'not_run' END AS s, CASE WHEN doc_id % 3 = 0 THEN 0.5::DOUBLE END AS score FROM labels)

@@ -135,7 +135,7 @@ def e1_review_table(spark, sf_dir):
 
 def e2_incidents(spark, sf_dir):
     a, table = _e1(spark, sf_dir)
-    return review_table.incident_table(table, a).select("incident_id", "seed_record_id", "title", "Reviewer label", "All seed record IDs")
+    return review_table.incident_table(table, a).select("incident_id", "seed_record_id", "title", F.col("Reviewer label").alias("reviewer_label"), F.col("All seed record IDs").alias("seeds"))
 
 
 _N = "NULL"
@@ -164,7 +164,7 @@ t AS (
 )
 SELECT incident_id, seed_record_id, place, cell.h AS header, CASE WHEN length(cell.v) > 64 THEN sha256(cell.v) ELSE cell.v END AS value FROM t"""
 _E2 = f"""WITH {_D} SELECT incident_id, 't3_' || (k + 1) AS seed_record_id, CASE WHEN EXISTS (SELECT 1 FROM documents r WHERE r.doc_id = k + 1 AND r.doc_id % 10 <> 5) THEN 'T ' || (k + 1) END AS title,
-  CASE WHEN k % 8 = 1 THEN 'No' END AS "Reviewer label", 't3_' || k || '; t3_' || (k + 1) AS "All seed record IDs" FROM x WHERE len(problems) = 0"""
+  CASE WHEN k % 8 = 1 THEN 'No' END AS reviewer_label, 't3_' || k || '; t3_' || (k + 1) AS seeds FROM x WHERE len(problems) = 0"""
 
 QUERIES = {f.__name__: f for f in (v15_decision_faults, v8_conversion_problems, v8_converted, e1_review_table, e2_incidents)}
 ORACLE = {"v15_decision_faults": _V15, "v8_conversion_problems": _V8P, "v8_converted": _V8C, "e1_review_table": _E1, "e2_incidents": _E2}

@@ -11,6 +11,9 @@ from caseloom.functions import text as tx
 from caseloom.operators import cases, matcher, state
 from caseloom.plans import assembly, bundling, catalog, details, ledger, relations, reviewing
 
+#: the tables that these queries read
+TABLES = ("documents", "conversations", "benchmark", "labels", "pages", "events", "orders", "lineitem", "customer")
+
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
