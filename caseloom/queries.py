@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as tx
 from caseloom.operators import cases, matcher, state
-from caseloom.plans import assembly, bundling, catalog, details, ledger, relations, reviewing
+from caseloom.plans import assembly, bundling, catalog, details, ledger, relations, reviewing, sourcing
 
 #: the tables that these queries read
 TABLES = ("documents", "conversations", "benchmark", "labels", "pages", "events", "orders", "lineitem", "customer")
@@ -144,7 +144,7 @@ SELECT user_id AS record_id, user_id % 3 AS decision_type, CASE WHEN count(*) =
 """
 
 _OWN = (t5_find_phrases, f5_normalize, f1_typed_ids, f8_triage_flags, f11_sheet_literal, f13_text_parts, f14_overlong, a9_prior_activity, g1_links, g2_exact_copies, g3_group_seeds, d1_upsert_last, d1_upsert_first, d5_resume_keys, c2_current_view)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | catalog.QUERIES | relations.QUERIES | assembly.QUERIES | bundling.QUERIES | reviewing.QUERIES | ledger.QUERIES | details.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | catalog.QUERIES | relations.QUERIES | assembly.QUERIES | bundling.QUERIES | reviewing.QUERIES | ledger.QUERIES | details.QUERIES | sourcing.QUERIES
 _DOUBT = " OR ".join(f"contains(lower(text), '{w}')" for w in ("if ", "might ", "would ", "hope ", "afraid", "worried", "in case", "don''t want", "didn''t", "did not"))
 _SHOWN = " OR ".join(f"contains(lower(text), '{w}')" for w in ("showed ", "told ", "gave "))
 ORACLE: dict[str, str] = {
@@ -163,4 +163,4 @@ ORACLE: dict[str, str] = {
     "d1_upsert_first": "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "d5_resume_keys": """SELECT o_orderkey, sha256('["rev1", "' || o_orderkey || '", "' || o_orderstatus || '", "' || o_orderpriority || '"]') AS key FROM orders""",
     "c2_current_view": _C2,
-} | catalog.ORACLE | relations.ORACLE | assembly.ORACLE | bundling.ORACLE | reviewing.ORACLE | ledger.ORACLE | details.ORACLE
+} | catalog.ORACLE | relations.ORACLE | assembly.ORACLE | bundling.ORACLE | reviewing.ORACLE | ledger.ORACLE | details.ORACLE | sourcing.ORACLE

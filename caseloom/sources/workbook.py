@@ -21,12 +21,28 @@ _NOT_XML = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f
 def sheet_rows(content: bytes) -> Iterator[tuple[str, int, dict[str, str | None]]]:
     """(sheet, row, cells by column letter). A formula's cell is None: its value was not typed in."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        texts = [_text(e) for e in _streamed(z, "xl/sharedStrings.xml", "si")]
-        parts = {e.attrib["Id"]: posixpath.normpath(posixpath.join("/xl", e.attrib["Target"]))[1:] for e in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for name, part in [(e.attrib["name"], parts[e.attrib[f"{_R}id"]]) for e in _streamed(z, "xl/workbook.xml", "sheet")]:
-            for row in _streamed(z, part, "row"):
-                cells = ((re.sub("[0-9]+", "", e.attrib["r"]), e) for e in row.findall(f"{_M}c"))
-                yield name, int(row.attrib["r"]), {column: _cell(e, texts) for column, e in cells}
+        texts = shared_texts(z)
+        for name, part in sheet_parts(z):
+            for row, cells in part_rows(z, part, texts):
+                yield name, row, cells
+
+
+def shared_texts(z: zipfile.ZipFile) -> list[str]:
+    """The workbook's table of texts that cells refer to."""
+    return [_text(e) for e in _streamed(z, "xl/sharedStrings.xml", "si")]
+
+
+def sheet_parts(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(sheet, its part in the archive), in the workbook's order."""
+    parts = {e.attrib["Id"]: posixpath.normpath(posixpath.join("/xl", e.attrib["Target"]))[1:] for e in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    return [(e.attrib["name"], parts[e.attrib[f"{_R}id"]]) for e in _streamed(z, "xl/workbook.xml", "sheet")]
+
+
+def part_rows(z: zipfile.ZipFile, part: str, texts: list[str]) -> Iterator[tuple[int, dict[str, str | None]]]:
+    """(row, cells by column letter) of one sheet, streaming."""
+    for row in _streamed(z, part, "row"):
+        cells = ((re.sub("[0-9]+", "", e.attrib["r"]), e) for e in row.findall(f"{_M}c"))
+        yield int(row.attrib["r"]), {column: _cell(e, texts) for column, e in cells}
 
 
 def _streamed(z: zipfile.ZipFile, part: str, tag: str) -> Iterator[ET.Element]:
