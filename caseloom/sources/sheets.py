@@ -3,7 +3,8 @@
 spark.read.format("workbook_sheets").load(path) gives (path, sheet, row, cells by column letter) of a workbook or of all *.xlsx in a folder; every sheet is a task of its own; the option `sheets`
 (JSON list of names) decides which are opened. A formula's cell is null. df.write.format("workbook").mode("append").save(folder) writes each task's rows as workbooks of at most `rows_per_part` rows (1,000,000; a sheet
 holds 1,048,575 below its header), streaming, and renames them once all tasks are done: part-00000.xlsx and on, beside what is there already. Options: `sheet` (its name, Rows), `choices` (JSON: column -> allowed
-values, shown as a list). Numbers, booleans, dates and times are cells of their kind, nested values JSON, nulls empty cells, texts never formulas; NaN and infinities are texts. A text of more than 32,767 UTF-16
+values, shown as a list). Numbers, booleans, dates and times are cells of their kind, nested values JSON, nulls empty cells, texts never formulas; NaN and infinities are texts. Characters
+that XML cannot hold or keep (controls, carriage returns) are written _xHHHH_ and read back. A text of more than 32,767 UTF-16
 units fits no cell and fails the write: exports.overlong_cells takes such texts apart first. An empty DataFrame gives one workbook with headers only.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import math
 import posixpath
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -35,6 +37,8 @@ _PACKAGE, _HEAD = "http://schemas.openxmlformats.org/package/2006", '<?xml versi
 # fixed values of the review workbook's look
 HEADER_FILL, HEADER_FONT, TEXT_FONT, REVIEWER_FILL = "FF243B53", "FFFFFFFF", "FF243246", "FFFFF4CE"
 WIDTH, TEXT_WIDTH, TEXT_COLUMNS = 24, 54, ("text", "title", "body", "quote", "rationale", "notes", "context")
+_LOST = re.compile(r"[\x00-\x08\x0b-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+_MARK = re.compile(r"_x([0-9A-Fa-f]{4})_")
 _PLAIN, _HEADER, _DATE, _REVIEWER = range(4)
 
 
@@ -75,7 +79,16 @@ class SheetReader(DataSourceReader):
         if p.path:
             with _opened(store(self.root)[0], p.path) as z:
                 for row, cells in workbook.part_rows(z, p.part, workbook.shared_texts(z)):
-                    yield p.path, p.sheet, row, cells
+                    yield p.path, p.sheet, row, {c: v if v is None else unescaped(v) for c, v in cells.items()}
+
+
+def escaped(text: str) -> str:
+    """Text as a cell holds it: what XML would lose as _xHHHH_, and so every underscore that would begin such a mark."""
+    return _LOST.sub(lambda m: f"_x{ord(m[0]):04X}_", text)
+
+
+def unescaped(text: str) -> str:
+    return _MARK.sub(lambda m: chr(int(m[1], 16)), text) if "_x" in text else text
 
 
 @contextmanager
@@ -188,7 +201,7 @@ def _cell(at: str, v, name: str) -> str:
         return f'<c r="{at}" s="{_DATE}"><v>{(day - datetime(1899, 12, 30)).days + seconds / 86400!r}</v></c>'
     if isinstance(v, int) and abs(v) < 10**15 or isinstance(v, float) and math.isfinite(v):
         return f'<c r="{at}" s="{style}"><v>{v!r}</v></c>'
-    text = workbook._NOT_XML.sub("", json.dumps(v, ensure_ascii=False, sort_keys=True, default=str) if isinstance(v, list | dict | tuple) else str(v))
+    text = escaped(json.dumps(v, ensure_ascii=False, sort_keys=True, default=str) if isinstance(v, list | dict | tuple) else str(v))
     if len(text) * 2 > CELL and len(text.encode("utf-16-le", "surrogatepass")) // 2 > CELL:
         raise ValueError(f"{name}, {at}: a text of over {CELL} units fits no cell; split it with exports.overlong_cells")
     return f'<c r="{at}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'

@@ -112,6 +112,8 @@ def test_workbooks_without_rows_and_texts_that_fit_no_cell(spark, tmp_path):
     with pytest.raises(Exception, match="fits no cell"):
         spark.createDataFrame([("x" * 32768,)], "b string").write.format("workbook").mode("append").save(long)
     assert list((tmp_path / "l").iterdir()) == []
-    spark.createDataFrame([("x" * 32767,), ("",), (None,)], "b string").write.format("workbook").mode("append").save(long)
+    odd = ["x" * 32767, "", None, "a\r\nb\x00\x0c\uffff", "_x000D_ _x00_ __x0041_", " \t "]
+    spark.createDataFrame([(v,) for v in odd], "b string").coalesce(1).write.format("workbook").mode("append").save(long)
+    assert [r["cells"].get("A") for r in spark.read.format("workbook_sheets").load(long).where("row > 1").orderBy("row").collect()] == odd
     with pytest.raises(Exception, match="different names"):
         spark.createDataFrame([(1, 2)], "a int, b int").toDF("a", "A").write.format("workbook").mode("append").save(long)
