@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
+import json
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import normalize_column
 from caseloom.operators.matcher import find_phrases
 from caseloom.operators.recovery import Budget, run_groups
-from caseloom.operators.summaries import hit_id
+from caseloom.operators.summaries import hit_id, query_set_hash, retrieval_of
 from caseloom.operators.summaries import inventory as inventory_of
-from caseloom.sources import archive, workbook
+from caseloom.plans.scratch import discard, written
+from caseloom.plans.versions import Folder
+from caseloom.sources import archive, shards, workbook
 
 
 def inventory(spark, a):
@@ -33,20 +37,31 @@ def dry_run(spark, a):
 
 
 def discover(spark, a):
-    """One output folder for each kind and month; a folder with its success marker is not searched again."""
+    """Searches each kind and month once: the folder's checkpoint, put last, holds its key and what was counted while its rows were written.
+
+    The key changes with the revision, the phrases and the folder's files; a folder with another key, or none, is searched again. Nothing is scanned only to be counted."""
     files = _selected(spark, a).select("kind", "month", "path", "bytes").collect()  # the manifest: one row for each shard
     groups: dict[tuple, list] = {}
     for f in files:
         groups.setdefault((f["kind"], f["month"]), []).append(f)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(a.out).getFileSystem(spark._jsc.hadoopConfiguration())
-    done = lambda g: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{a.out}/hits/kind={g[0]}/month={g[1]}/_SUCCESS"))
-    phrases = spark.read.parquet(f"{a.out}/phrases")
+    state, phrases = Folder(spark, a.out), spark.read.parquet(f"{a.out}/phrases")
+    searched_for = query_set_hash(phrases).first()[0]
+    keys = {g: hashlib.sha256("\n".join([a.revision, searched_for, *g, *sorted(f"{f['path']} {f['bytes']}" for f in groups[g])]).encode()).hexdigest() for g in groups}
+    at = lambda g: f"checkpoints/{g[0]}-{g[1]}.json"
+    done = lambda g: state.exists(at(g)) and json.loads(state.read(at(g)))["key"] == keys[g]
 
     def work(g):
-        good, bad = archive.canonical(archive.read_shards(spark, [f["path"] for f in groups[g]]), g[0], a.site)
-        bad.write.mode("overwrite").parquet(f"{a.out}/set_aside/kind={g[0]}/month={g[1]}")
-        fields = ["title", "selftext"] if g[0] == "submissions" else ["body"]
-        find_phrases(good, phrases, "typed_id", fields).write.mode("overwrite").parquet(f"{a.out}/hits/kind={g[0]}/month={g[1]}")
+        kind, month = g
+        raw, seen, kept = archive.read_shards(spark, [f["path"] for f in groups[g]]), Observation(), Observation()
+        if state.exists(at(g)):
+            state.delete(at(g))
+        _, bad = archive.canonical(raw.observe(seen, F.count(F.lit(1)).alias("scanned")), kind, a.site)
+        bad.write.mode("overwrite").parquet(f"{a.out}/set_aside/kind={kind}/month={month}")
+        good, _ = archive.canonical(raw, kind, a.site)
+        hits = find_phrases(good, phrases, "typed_id", ["title", "selftext"] if kind == "submissions" else ["body"])
+        hits.observe(kept, F.count(F.lit(1)).alias("hits")).write.mode("overwrite").parquet(f"{a.out}/hits/kind={kind}/month={month}")
+        counted = {"scanned": seen.get["scanned"], "hits": kept.get["hits"], "files": len(groups[g]), "bytes": sum(f["bytes"] for f in groups[g])}
+        state.put(at(g), json.dumps({"key": keys[g], "stage": "discovery", "kind": kind, "month": month, "status": "complete", **counted}))
 
     todo = [g for g in groups if not done(g)]
     budget = Budget(a.seconds, a.bytes, lambda: bool(a.stop_file) and os.path.exists(a.stop_file))
@@ -55,8 +70,51 @@ def discover(spark, a):
     return 2 if failed else 0
 
 
+CHECKPOINT = "key string, stage string, kind string, month string, status string, scanned long, hits long, files long, bytes long"
+
+
+def progress(spark, out: str):
+    """(kind, months, files, bytes, scanned, hits) of what is searched so far, from checkpoints alone: also while a search runs."""
+    if not Folder(spark, out).names("checkpoints"):
+        return spark.createDataFrame([], "kind string, months long, files long, bytes long, scanned long, hits long")
+    done = spark.read.schema(CHECKPOINT).option("pathGlobFilter", "*.json").json(f"{out}/checkpoints")
+    return done.groupBy("kind").agg(F.count("*").alias("months"), *(F.sum(c).alias(c) for c in ("files", "bytes", "scanned", "hits")))
+
+
 def status(spark, a):
-    spark.read.parquet(f"{a.out}/hits").groupBy("kind", "month").agg(F.count("*").alias("hits"), F.countDistinct("typed_id").alias("records")).orderBy("kind", "month").show(1000, truncate=False)
+    progress(spark, a.out).orderBy("kind").show(truncate=False)
+
+
+def inspect(spark, a):
+    """Columns of all shards in scope and months that one kind alone has, from footers."""
+    shards.register(spark)
+    footers = written(spark.read.format("shard_footers").options(kinds=",".join(a.kinds or []), start=a.start or "", end=a.end or "").load(a.source), "footers")
+    for name, table in (("footers", footers), ("presence", shards.presence(footers)), ("months_of_one_kind", shards.kinds_apart(footers))):
+        table.write.mode("overwrite").parquet(f"{a.out}/inspection/{name}")
+    discard(footers)
+
+
+def recover(spark, a):
+    """Folders of hits that no checkpoint names: a search broke off there and will write them again. Exit code 2 if there are any."""
+    state = Folder(spark, a.out)
+    found = {(k[5:], m[6:]) for k in state.names("hits") if k.startswith("kind=") for m in state.names(f"hits/{k}") if m.startswith("month=")}
+    broken = sorted(g for g in found if not state.exists(f"checkpoints/{g[0]}-{g[1]}.json"))
+    print({"broken": [f"{k} {m}" for k, m in broken]})
+    return 2 if broken else 0
+
+
+def demonstrate_joins(spark, a):
+    """Threads that hits name, beside the submissions and comments of the months in scope: which are found there, with how many comments."""
+    both = None
+    for kind in ("submissions", "comments"):
+        paths = [r["path"] for r in _selected(spark, a).where(F.col("kind") == kind).select("path").collect()]
+        if paths:
+            ids = archive.canonical(archive.read_shards(spark, paths), kind, a.site)[0].select("typed_id", "thread_id", "kind")
+            both = ids if both is None else both.unionByName(ids)
+    if both is None:
+        raise SystemExit("no shard in scope")
+    threads = both.join(spark.read.parquet(f"{a.out}/hits").select("typed_id").distinct(), "typed_id", "left_semi").select("thread_id")
+    retrieval_of(threads, both).write.mode("overwrite").parquet(f"{a.out}/joins")
 
 
 def export(spark, a):
@@ -83,7 +141,7 @@ def _selected(spark, a):
     return archive.select_files(spark.read.parquet(f"{a.out}/manifest"), a.kinds, a.start, a.end)
 
 
-VERBS = {"inventory": inventory, "import-keywords": keywords, "dry-run": dry_run, "discover": discover, "status": status, "export": export, "report": report}
+VERBS = {"inventory": inventory, "import-keywords": keywords, "dry-run": dry_run, "discover": discover, "status": status, "inspect": inspect, "recover": recover, "demonstrate-joins": demonstrate_joins, "export": export, "report": report}
 
 
 def main(argv: list[str] | None = None) -> int:
