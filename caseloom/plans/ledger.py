@@ -22,9 +22,9 @@ def o5_first_earlier_or_own(spark, sf_dir):
 
 
 def c3_conflicting_events(spark, sf_dir):
-    """Users as event ids: copies of an event that differ in type or hour stop the import."""
-    e = _t(spark, sf_dir, "events").where("event_id % 40 = 0").select((F.col("user_id") * 100 + F.col("event_id") % 3).alias("event_id"), "event_type", F.hour("ts").alias("hour"))
-    return review.import_events(e)[1]
+    """All events, users as event ids: copies of an event that differ in type or hour stop the import."""
+    e = _t(spark, sf_dir, "events").select((F.col("user_id") * 100 + F.col("event_id") % 3).alias("event_id"), "event_type", F.hour("ts").alias("hour"))
+    return review.conflicting_events(e)
 
 
 def _shards(spark, sf_dir):
@@ -67,7 +67,7 @@ QUERIES = {f.__name__: f for f in (a5_distinct_hits, o5_first_earlier_or_own, c3
 ORACLE = {
     "a5_distinct_hits": "SELECT count(DISTINCT user_id) AS records, count(*) AS hits FROM events",
     "o5_first_earlier_or_own": "SELECT conv_id, coalesce(min(turn) FILTER (contains(text, 'that')), 0) AS original FROM conversations GROUP BY conv_id",
-    "c3_conflicting_events": "SELECT user_id * 100 + event_id % 3 AS event_id FROM events WHERE event_id % 40 = 0 GROUP BY 1 HAVING count(DISTINCT (event_type, hour(ts))) > 1",
+    "c3_conflicting_events": "SELECT user_id * 100 + event_id % 3 AS event_id, count(DISTINCT (event_type, hour(ts))) AS contents FROM events GROUP BY 1 HAVING count(DISTINCT (event_type, hour(ts))) > 1",
     "c6_shard_states": f"WITH {_STATES} SELECT * FROM z",
     "c7_mode_plans": f"""WITH {_STATES} SELECT path, mode, CASE WHEN current_status = 'source_unavailable' THEN 'none' WHEN mode = 'full' THEN 'scan' WHEN current_status = 'complete' THEN CASE mode WHEN 'incremental' THEN 'skip' ELSE 'reuse' END WHEN current_status = 'duplicated' THEN 'skip' WHEN mode = 'incremental' THEN 'scan' ELSE 'defer' END AS action,
   CASE WHEN current_status = 'source_unavailable' THEN current_status WHEN mode = 'full' THEN 'full_scan_requested' WHEN current_status = 'complete' THEN 'complete_and_compatible' WHEN current_status = 'duplicated' THEN 'same_content_as:' || same_as WHEN current_status = 'partial' THEN 'partial_restarts' WHEN current_status = 'missing' THEN 'no_checkpoint' ELSE current_status END AS reason

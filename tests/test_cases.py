@@ -1,10 +1,15 @@
+import datetime
 import random
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators import annotations as an
 from caseloom.operators import exports, graph, recovery, review
+from caseloom.plans import ledger
 from caseloom.sources import archive, workbook
 
 
@@ -232,3 +237,24 @@ def test_round_robin_takes_strata_in_turn(spark):
 
     g = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), (None, 5)], "s string, id int")
     assert [r["id"] for r in selection.round_robin(g, ["s"], "id", 4).orderBy("place").collect()] == [5, 1, 4, 2]
+
+
+def test_conflicts_among_all_events_are_counted(spark, tmp_path):
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    ev = [
+        (1, 7, "a", at(3)), (4, 7, "b", at(3)), (7, 7, "b", at(4)), (10, 7, "b", at(4, 30)),  # three contents
+        (2, 7, "a", at(3)), (5, 7, "a", at(3, 59)),  # copies
+        (3, 7, "a", at(3)),  # once
+        (1, 8, None, at(3)), (4, 8, "a", at(3)), (2, 8, "a", None), (5, 8, "a", at(0)), (3, 8, None, None), (6, 8, None, None), (9, 8, None, at(1)),
+        (40, 9, "a", at(1)), (80, 9, "a", at(1)), (160, 9, "b", at(1)), (121, 9, "b", at(1)),
+        (1, None, "a", at(1)), (4, None, "b", at(1)),
+    ]
+    t = pa.table({"event_id": pa.array([e[0] for e in ev], pa.int64()), "user_id": pa.array([e[1] for e in ev], pa.int64()), "event_type": [e[2] for e in ev], "ts": pa.array([e[3] for e in ev], pa.timestamp("us"))})
+    pq.write_table(t, tmp_path / "events.parquet")
+    events = duckdb.connect()
+    events.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    out = ledger.c3_conflicting_events(spark, str(tmp_path))
+    assert {r["event_id"] for r in out.collect()} == {701, 800, 801, 802, 901, None}
+    got = rows(out.select("event_id", "contents"))
+    assert got == sorted(events.sql(f"SELECT event_id, contents FROM ({ledger.ORACLE['c3_conflicting_events']})").fetchall(), key=repr)
+    assert got == sorted([(701, 3), (801, 2), (802, 2), (800, 2), (901, 2), (None, 2)], key=repr)
