@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _contents(events: DataFrame) -> DataFrame:
+def _with_content(events: DataFrame) -> DataFrame:
     cols = sorted(c for c in events.columns if c != "event_id")
-    marked = events.withColumn("_h", F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256))
-    return marked.groupBy("event_id").agg(F.countDistinct("_h").alias("contents"))
-
-
-def conflicting_events(events: DataFrame) -> DataFrame:
-    """(event_id, contents): the events whose copies differ, and how many different contents they have."""
-    return _contents(events).where("contents > 1")
+    return events.withColumn("_h", F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256))
 
 
 def import_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events once each, and the ids whose copies differ: those must stop the import."""
-    return events.dropDuplicates(["event_id"]).join(_contents(events).where("contents = 1"), "event_id", "left_semi"), conflicting_events(events).select("event_id")
+    kept = _with_content(events).groupBy("event_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"))
+    return events.dropDuplicates(["event_id"]).join(kept.where("lo = hi"), "event_id", "left_semi"), kept.where("lo <> hi").select("event_id")
+
+
+def conflicting_events(events: DataFrame) -> DataFrame:
+    """(event_id, contents): the events whose copies differ, and how many different contents they have."""
+    return _with_content(events).groupBy("event_id").agg(F.countDistinct("_h").alias("contents")).where("contents > 1")
 
 
 def screen(records: DataFrame, exclude: dict[str, Column], doubt: dict[str, Column]) -> DataFrame:
